@@ -162,8 +162,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier does not reject; texts are scored in place, so nothing is joined back."""
-    model = learned(written(features(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), "statistics"), labels)
+    """The rows of docs that the classifier does not reject. Texts are measured once to learn, in narrow rows, and again in place, so that no text is shuffled."""
+    model = learned(written(features(docs), "statistics"), labels)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

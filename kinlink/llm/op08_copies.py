@@ -303,9 +303,13 @@ def cluster(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept: one of each component; a doc_id that repeats stays once, null ids all stay."""
-    gone = cluster(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    first = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return first.join(gone, first["doc_id"] == gone["_gone"], "left_anti").unionByName(docs.filter("doc_id is null"))
+    gone = written(cluster(docs).filter("not kept").select("doc_id").distinct(), "gone")
+    out = docs.join(gone, "doc_id", "left_anti")
+    again = written(docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id"), "again")
+    if again.limit(1).count():  # else no text need be dealt for it
+        once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(again, "doc_id", "left_anti").unionByName(once)
+    return out.select(*docs.columns)
 
 
 def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

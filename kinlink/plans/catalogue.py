@@ -1,14 +1,541 @@
-"""Named queries of the linkage engine and their DuckDB SQL."""
+"""Named queries of the linkage engine and their DuckDB SQL.
+
+Entity tables are the fixtures of plans.fixtures over whole tables. Scores without a model are pseudo-scores of
+modular arithmetic on ids, which both engines compute alike; doubles are rounded to six decimals.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kinlink.functions import features as f
+from kinlink.functions import tables as T
+from kinlink.functions import text
+from kinlink.functions.kernels import KINDS, accent_fold, similarities
+from kinlink.operators import blocking, decide, keys, metrics, model, pair_features, prescreen, validate
+from kinlink.plans import sqlbits as S
+from kinlink.plans.fixtures import SQL, entities, sides
+from kinlink.plans.link import LinkConfig, candidates, link, normalised
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+C = F.col
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[name] = fn
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return add
+
+
+def named(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """A fixture with its second-generation name and address, as a step of its own before the keys."""
+    return entities(spark, sf_dir, kind).withColumns({"norm_name": text.name_second("business_name"), "norm_addr": text.address_second("business_address", "country")})
+
+
+def scalar(name: str, kind: str, column: Callable[[], object], sql: str) -> None:
+    """A query that adds one value to every entity of a fixture."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return entities(spark, sf_dir, kind).select("entity_id", column().alias("value"))
+
+    query(name, f"with e as ({SQL[kind]}) select entity_id, {sql} as value from e")(run)
+
+
+def keyed(name: str, kind: str, column: Callable[[], object], sql: str) -> None:
+    """A query with one row for each blocking key of an entity."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return named(spark, sf_dir, kind).select("entity_id", F.explode(F.array_distinct(column())).alias("key"))
+
+    query(name, f"with e as ({SQL[kind]}) select entity_id, unnest(list_distinct({sql})) as key from e")(run)
+
+
+# normalisers ----------------------------------------------------------------------------------------------------
+
+scalar("norm_name_map", "doc", lambda: text.name_second("business_name"), S.name("business_name"))
+scalar("norm_addr_map", "part", lambda: text.address_second("business_address", "country"), S.address("business_address", "country"))
+
+
+def _saint() -> object:
+    return text.address_second(F.concat(F.lit("12 St "), F.coalesce("business_address", F.lit(""))), F.when(C("country") == "fr", "France").otherwise("US"))
+
+
+scalar("st_country_rule", "doc", _saint, S.address("('12 St ' || coalesce(business_address, ''))", "(case when country = 'fr' then 'France' else 'US' end)"))
+_first = S.words(r"regexp_replace(lower(coalesce(business_name, '')), 'https?://[^\s\p{Z}]+|www\.[^\s\p{Z}]+', ' ', 'g')", T.NAME_WORDS_SHORT)
+_first = rf"regexp_replace(replace({_first}, '&', ' and '), '[^{S.W}\s\-'']', ' ', 'g')"
+scalar("norm_name_columnwise", "doc", lambda: text.name_columnwise("business_name"), S.squeeze(S.hyphens(_first)))
+_where = S.words("lower(coalesce(business_address, ''))", T.ADDRESS_WORDS_SHORT)
+_where = rf"regexp_replace(regexp_replace(replace({_where}, '&', ' and '), '[,;|/\\]', ' ', 'g'), '[^{S.W}\s\-]', ' ', 'g')"
+scalar("norm_addr_columnwise", "doc", lambda: text.address_columnwise("business_address"), S.squeeze(S.hyphens(_where)))
+_row = S.words(r"regexp_replace(lower(nfc_normalize(coalesce(business_name, ''))), 'https?://[^\s\p{Z}]+|www\.[^\s\p{Z}]+', ' ', 'g')", T.NAME_WORDS)
+_row = r"regexp_replace(replace(" + _row + r", '&', 'and'), '[^\p{L}\p{N}\p{M}\p{Zs}\-'']', ' ', 'g')"
+scalar("norm_name_rowwise", "doc", lambda: text.name_first("business_name"), S.squeeze(S.hyphens(_row)))
+_row2 = S.words("lower(nfc_normalize(coalesce(business_address, '')))", T.ADDRESS_WORDS_FIRST)
+_row2 = r"regexp_replace(regexp_replace(replace(" + _row2 + r", '&', 'and'), '[,;|/\\]', ' ', 'g'), '[^\p{L}\p{N}\p{M}\p{Zs}\-'']', ' ', 'g')"
+scalar("norm_addr_rowwise", "doc", lambda: text.address_first("business_address"), S.squeeze(S.hyphens(_row2)))
+scalar("accent_fold", "doc", lambda: accent_fold(text.filled("business_name")), "strip_accents(coalesce(business_name, ''))")
+_forms = "|".join(T.LEGAL_FORMS)
+scalar("legal_flag", "doc", lambda: text.has_legal("business_name"), rf"regexp_matches(lower(coalesce(business_name, '')), '(^|[^{S.W}])({_forms}|sp\.?z\.?o\.?o)($|[^{S.W}])')")
+_num = S.numbers("business_address")
+scalar("primary_number", "part", lambda: text.primary_number("business_address"), f"case when len({_num}) = 0 then '' when ltrim(({_num})[1], '0') = '' then '0' else ltrim(({_num})[1], '0') end")
+scalar(
+    "numeric_tokens", "cust", lambda: F.array_join(text.numeric_tokens("business_address"), " "),
+    rf"coalesce(array_to_string(list_filter({S.tokens('business_address')}, lambda t: regexp_matches(t, '\d')), ' '), '')",
+)
+_stops = ", ".join(map(S.quoted, T.ACRONYM_STOPS))
+_acro = f"list_filter(regexp_extract_all(coalesce(business_name, ''), '[a-zA-Z0-9]+'), lambda t: lower(t) not in ({_stops}))"
+_acro = f"case when len({_acro}) between 2 and 6 then lower(array_to_string(list_transform({_acro}, lambda t: substr(t, 1, 1)), '')) else '' end"
+scalar("acronym", "doc", lambda: text.acronym("business_name"), _acro)
+_bare = "regexp_replace(lower(strip_accents(coalesce(business_name, ''))), '[^a-z0-9]', '', 'g')"
+scalar("vowel_skeleton", "doc", lambda: text.vowel_skeleton("business_name"), f"substr({_bare}, 1, 1) || regexp_replace(substr({_bare}, 2), '[aeiou]', '', 'g')")
+
+
+@query("domain_strip", rf"select page_id, trim(lower(regexp_replace(regexp_replace(regexp_replace(split_part(url, '/', 3), '^#+', ''), '(?i)\.({'|'.join(T.DOMAINS)})$', ''), '([a-z])([A-Z])', '\1 \2', 'g'))) as value from pages")
+def _domains(spark, sf_dir):
+    host = F.split_part(C("url"), F.lit("/"), F.lit(3))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.domain_strip(host).alias("value"))
+
+
+# keys -----------------------------------------------------------------------------------------------------------
+
+_n, _a = S.name("business_name"), S.address("business_address", "country")
+_t2 = f"list_sort(list_distinct({S.tokens(_n, 2)}))"
+
+
+def name() -> object:
+    return C("norm_name")
+
+
+def address() -> object:
+    return C("norm_addr")
+
+
+keyed("keys_v1_pairs", "doc", lambda: keys.v1_pairs(name()), S.pairs(_t2))
+keyed("keys_v1_bag", "doc", lambda: keys.v1_bag(name()), f"case when len({_t2}) > 0 then [array_to_string(({_t2})[1:6], '|')] else [] end")
+_long = f"(list_sort(list_transform(range(1, len({S.tokens(_n, 2)})::bigint + 1), lambda i: struct_pack(n := -length(({S.tokens(_n, 2)})[i]), i := i, t := ({S.tokens(_n, 2)})[i])))[1]).t"
+keyed("keys_v1_prefix", "doc", lambda: keys.v1_prefix(name()), f"case when length({_long}) >= 4 then ['pfx:' || substr({_long}, 1, 4)] else [] end")
+keyed("keys_v1_tokens", "doc", lambda: keys.v1_tokens(name()), f"list_transform({S.tokens(_n, 2)}, lambda t: 'tok:' || t)")
+_dig = rf"list_filter({S.tokens(_a)}, lambda t: regexp_matches(t, '\d'))"
+keyed("keys_v1_num", "part", lambda: keys.v1_number(address()), f"case when len({_dig}) > 0 then ['num:' || ({_dig})[1]] else [] end")
+_l4 = S.tokens(_a, 4)
+_two = f"list_sort(list_transform((list_sort(list_transform(range(1, len({_l4})::bigint + 1), lambda i: struct_pack(n := -length(({_l4})[i]), i := i, t := ({_l4})[i]))))[1:2], lambda r: r.t))"
+keyed("keys_v1_addr", "part", lambda: keys.v1_address(address()), f"case len({_two}) when 0 then [] when 1 then ['adr1:' || ({_two})[1]] else ['adr:' || array_to_string({_two}, '|')] end")
+_own = S.ascii_tokens(_n, 2)
+keyed("keys_v2_tok2", "doc", lambda: keys.v2_names(name()), f"case when len({_own}) = 1 then ['tok1:' || ({_own})[1]] else {S.pairs(f'({_own})[1:5]', 'tok2:', False)} end")
+_gen = ", ".join(map(S.quoted, T.GENERIC_ADDRESS))
+_at = f"list_filter({S.ascii_tokens(_a, 3)}, lambda t: t not in ({_gen}))"
+keyed("keys_v2_adr2", "part", lambda: keys.v2_addresses(address()), S.pairs(f"({_at})[1:4]", "adr2:", False))
+_nums = f"(list_filter(list_transform({S.numbers('business_address')}, lambda n: ltrim(n, '0')), lambda n: length(n) >= 2))[1:2]"
+keyed(
+    "keys_v2_numjoint", "cust", lambda: keys.v2_numbers(C("business_address"), address(), name(), name()),
+    f"list_concat(flatten(list_transform({_nums}, lambda n: list_transform(({_at})[1:3], lambda a: 'na:' || n || '|' || a))), flatten(list_transform({_nums}, lambda n: list_transform(({_own})[1:1], lambda a: 'nn:' || n || '|' || a))))",
+)
+_four = f"list_filter(({_own})[1:2], lambda t: length(t) >= 4)"
+keyed("keys_v2_g4", "doc", lambda: keys.v2_grams(name(), name()), f"flatten(list_transform({_four}, lambda t: list_transform(range(1, length(t) - 2), lambda i: 'g4:' || substr(t, i, 4))))")
+keyed("keys_v2_acro", "doc", lambda: keys.v2_acronym(C("business_name"), False), f"case when {_acro} <> '' then ['acro:' || {_acro}] else [] end")
+
+
+# blocking -------------------------------------------------------------------------------------------------------
+
+CAP, BY = 25, ("country",)
+_words = f"""
+with e as ({SQL["doc"]}),
+k as (select entity_id, country, unnest(list_distinct({S.ascii_tokens("business_name", 2)})) as key from e),
+q as (select * from k where starts_with(entity_id, 'S1-')), t as (select * from k where not starts_with(entity_id, 'S1-')),"""
+_rare = _words + f" rare as (select country, key, count(*) as df from t group by all having count(*) <= {CAP}),"
+_pairs = _rare + """
+p as (select q.entity_id as s1_id, t.entity_id as cand_id, count(*) as n_keys from q join t using (country, key) join rare using (country, key) group by all)"""
+
+
+def word_keys(spark, sf_dir, kind="doc") -> tuple[DataFrame, DataFrame]:
+    """Distinct name words of queries and of targets, with their country."""
+    return tuple(blocking.long_keys(x, F.array_distinct(text.ascii_tokens("business_name", 2)), *BY) for x in sides(entities(spark, sf_dir, kind)))
+
+
+def doc_pairs(spark, sf_dir) -> DataFrame:
+    q, t = word_keys(spark, sf_dir)
+    return blocking.block(q, blocking.pruned(t, CAP, by=BY), BY)
+
+
+@query("key_df_pruned", _rare[:-1] + " select country, key, df from rare")
+def _pruned(spark, sf_dir):
+    _, t = word_keys(spark, sf_dir)
+    return blocking.pruned(t, CAP, by=BY).groupBy("country", "key").agg(F.count("*").alias("df"))
+
+
+@query("block_pairs_country", _pairs + " select * from p")
+def _block_country(spark, sf_dir):
+    return doc_pairs(spark, sf_dir)
+
+
+@query("block_pairs", _words + f" rare as (select key from t group by key having count(*) <= {CAP}) select q.entity_id as s1_id, t.entity_id as cand_id, count(*) as n_keys from q join t using (key) join rare using (key) group by all")
+def _block(spark, sf_dir):
+    q, t = word_keys(spark, sf_dir)
+    return blocking.block(q, blocking.pruned(t, CAP))
+
+
+@query("cand_cap", _pairs + " select * from p qualify row_number() over (partition by s1_id order by n_keys desc, cand_id) <= 5")
+def _capped(spark, sf_dir):
+    return blocking.capped(doc_pairs(spark, sf_dir), 5)
+
+
+_TRUE = "x as (select a.entity_id as s1_id, b.entity_id as cand_id from e a join e b on a.business_name = b.business_name and a.country = b.country and starts_with(a.entity_id, 'S1-') and not starts_with(b.entity_id, 'S1-'))"
+
+
+def doc_truth(spark, sf_dir) -> DataFrame:
+    """Pairs of equal names in one country."""
+    q, t = sides(entities(spark, sf_dir, "doc"))
+    return q.select("business_name", "country", C("entity_id").alias("s1_id")).join(t.select("business_name", "country", C("entity_id").alias("cand_id")), ["business_name", "country"]).select("s1_id", "cand_id")
+
+
+@query("blocking_recall", _pairs + f", {_TRUE} select count(*) as n_truth, count(p.s1_id) as n_found, coalesce(count(p.s1_id) / count(*)::double, 0.0) as recall from x left join p using (s1_id, cand_id)")
+def _recall(spark, sf_dir):
+    return blocking.recall(doc_truth(spark, sf_dir), doc_pairs(spark, sf_dir))
+
+
+@query("cand_stats", _pairs + ", c as (select s1_id, count(*) as n from p group by s1_id), m as (select count_if(starts_with(entity_id, 'S1-')) as a, count_if(not starts_with(entity_id, 'S1-')) as b from e) select coalesce(sum(n), 0)::bigint as total, coalesce(sum(n), 0) / greatest(any_value(a), 1)::double as average, coalesce(max(n), 0) as largest, any_value(a)::double * any_value(b) / greatest(coalesce(sum(n), 0), 1) as reduction from c, m")
+def _stats(spark, sf_dir):
+    q, t = sides(entities(spark, sf_dir, "doc"))
+    return blocking.stats(doc_pairs(spark, sf_dir), q.count(), t.count())
+
+
+@query("v1_key_count", f"with e as ({SQL['part']}), n as (select entity_id, {_n} as n, {_a} as a from e) select entity_id, len(list_distinct(list_concat(list_concat({S.pairs('list_sort(list_distinct(' + S.tokens('n', 2) + '))')}, [array_to_string((list_sort(list_distinct({S.tokens('n', 2)})))[1:6], '|')]), list_transform({S.tokens('n', 2)}, lambda t: 'tok:' || t))))::bigint as n_keys from n")
+def _v1_count(spark, sf_dir):
+    e = named(spark, sf_dir, "part")
+    return e.select("entity_id", F.size(keys.gathered(keys.v1_pairs(name()), keys.v1_bag(name()), keys.v1_tokens(name()))).cast("long").alias("n_keys"))
+
+
+@query("block_v1_full")
+def _v1_full(spark, sf_dir):
+    """All first-generation keys, the raw name's included, capped at 400 and 300 candidates."""
+    e = entities(spark, sf_dir, "part")
+    q, t = (blocking.long_keys(x, keys.v1_keys(text.name_columnwise("business_name"), text.address_columnwise("business_address"), C("business_name"))) for x in sides(e))
+    return blocking.capped(blocking.block(q, blocking.pruned(t, 400)), 300)
+
+
+@query("block_v2_full")
+def _v2_full(spark, sf_dir):
+    """All second-generation keys in one country."""
+    return candidates(*(normalised(x) for x in sides(entities(spark, sf_dir, "cust"))))
+
+
+# features -------------------------------------------------------------------------------------------------------
+
+
+def pair_texts(spark, sf_dir) -> DataFrame:
+    q, t = sides(entities(spark, sf_dir, "doc"))
+    return prescreen.attributes(doc_pairs(spark, sf_dir), q, t, "business_name", "business_address", "country")
+
+
+_both = _pairs + ", b as (select s1_id, cand_id, coalesce(x.business_name, '') as n1, coalesce(y.business_name, '') as n2, coalesce(x.business_address, '') as a1, coalesce(y.business_address, '') as a2, x.country as c1, y.country as c2 from p join e x on x.entity_id = s1_id join e y on y.entity_id = cand_id)"
+
+
+def feature(label: str, column: Callable[[], object], sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pair_texts(spark, sf_dir).select("s1_id", "cand_id", F.round(column(), 6).alias("value"))
+
+    query(f"feat_{label}", f"{_both} select s1_id, cand_id, round({sql}, 6) as value from b")(run)
+
+
+N, A = ("business_name_1", "business_name_2"), ("business_address_1", "business_address_2")
+feature("token_jaccard", lambda: f.token_jaccard(*N), S.jaccard(S.tokens("n1"), S.tokens("n2")))
+feature("c3", lambda: f.ngram_jaccard(*N, 3), S.jaccard(S.grams("n1", 3), S.grams("n2", 3)))
+feature("c4", lambda: f.ngram_jaccard(*A, 4), S.jaccard(S.grams("a1", 4), S.grams("a2", 4)))
+_x, _y = S.tokens("n1"), S.tokens("n2")
+feature("prefix_overlap", lambda: f.prefix_overlap(*N), f"case when len({_x}) > 0 and len({_y}) > 0 then len(list_filter({_x}, lambda t: len(list_filter({_y}, lambda u: starts_with(u, t) or starts_with(t, u))) > 0)) / len({_x})::double else 0.0 end")
+_d1, _d2 = (rf"list_filter({S.tokens(x)}, lambda t: regexp_matches(t, '\d'))" for x in ("a1", "a2"))
+feature("num_overlap", lambda: f.number_overlap(*A), S.jaccard(_d1, _d2))
+feature("rare_overlap", lambda: f.rare_overlap(*N), S.jaccard(S.tokens("n1", 4), S.tokens("n2", 4), " + 1e-9"))
+feature("length_ratio", lambda: f.length_ratio(*N), "least(length(n1), length(n2)) / greatest(length(n1), length(n2), 1)::double")
+feature("token_difference", lambda: f.token_difference(*N), f"abs(len({_x})::bigint - len({_y})::bigint)::double")
+feature("first_token", lambda: f.first_token(*N), f"case when len({_x}) > 0 and len({_y}) > 0 and ({_x})[1] = ({_y})[1] then 1.0::double else 0.0 end")
+
+
+@query("feat_flags", f"{_both}, l as (select s1_id, cand_id, c1 = c2 as ctry, regexp_matches(lower(n1), '(^|[^{S.W}])({_forms})($|[^{S.W}])') as x, regexp_matches(lower(n2), '(^|[^{S.W}])({_forms})($|[^{S.W}])') as y from b) select s1_id, cand_id, ctry::int::double as ctry, (x and y)::int::double as both_legal, (x <> y)::int::double as legal_xor from l")
+def _flags(spark, sf_dir):
+    df = pair_texts(spark, sf_dir)
+    df = df.withColumns({"l1": text.has_legal("business_name_1", False), "l2": text.has_legal("business_name_2", False)})
+    return df.select("s1_id", "cand_id", f.same("country_1", "country_2").alias("ctry"), f.both("l1", "l2").alias("both_legal"), f.either("l1", "l2").alias("legal_xor"))
+
+
+def _lcs(a: str, b: str) -> str:
+    """2 * LCS / (m + n) by folding the rows of the usual table."""
+    row = f"list_reduce(list_prepend([0::bigint], list_transform(range(1, length({b}) + 1), lambda j: [j])), lambda r, j: list_append(r, case when substr({a}, i, 1) = substr({b}, j[1], 1) then prev[j[1]] + 1 else greatest(prev[j[1] + 1], r[len(r)]) end))"
+    table = f"list_reduce(list_prepend(list_transform(range(0, length({b}) + 1), lambda z: 0::bigint), list_transform(range(1, length({a}) + 1), lambda i: [i])), lambda prev, ii: {row.replace('substr(' + a + ', i, 1)', 'substr(' + a + ', ii[1], 1)')})"
+    return f"case when {a} = {b} then 1.0 when length({a}) + length({b}) = 0 then 1.0 else 2.0 * ({table})[length({b}) + 1] / (length({a}) + length({b})) end"
+
+
+@query("feat_indel", f"{_pairs}, b as (select s1_id, cand_id, substr(x.business_name, 1, 30) as n1, substr(y.business_name, 1, 30) as n2 from p join e x on x.entity_id = s1_id join e y on y.entity_id = cand_id) select s1_id, cand_id, round({_lcs('n1', 'n2')}, 6) as value from b")
+def _indel(spark, sf_dir):
+    """The ratio on prefixes of 30, the truncation being part of the feature."""
+    from kinlink.functions.kernels import indel
+
+    return pair_texts(spark, sf_dir).select("s1_id", "cand_id", F.round(indel(prescreen.cut(N[0], 30), prescreen.cut(N[1], 30)), 6).alias("value"))
+
+
+@query("feat_jaro_winkler", f"{_both} select s1_id, cand_id, round(case when n1 = n2 then 1.0 else jaro_winkler_similarity(regexp_replace(n1, '[^ -~]', '', 'g'), regexp_replace(n2, '[^ -~]', '', 'g')) end, 6) as value from b")
+def _jw(spark, sf_dir):
+    plain = [F.regexp_replace(c, "[^ -~]", "") for c in N]
+    df = pair_texts(spark, sf_dir).withColumn("s", similarities(*plain))
+    return df.select("s1_id", "cand_id", F.round("s.jaro_winkler", 6).alias("value"))
+
+
+@query("feat_kernels")
+def _kernels(spark, sf_dir):
+    """All four kernels on names; tests hold them against other definitions."""
+    df = pair_texts(spark, sf_dir).withColumn("s", similarities(*N))
+    return df.select("s1_id", "cand_id", *[F.round(f"s.{k}", 6).alias(k) for k in KINDS])
+
+
+@query("embed_dot", "select a.vec_id as s1_id, b.vec_id as cand_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::double * p[2]::double)), 6) as value from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id and b.vec_id < a.vec_id + 20")
+def _dot(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    b = v.select("label", C("vec_id").alias("cand_id"), C("embedding").alias("w"))
+    near = v.join(b, "label").filter("vec_id < cand_id and cand_id < vec_id + 20")
+    return near.select(C("vec_id").alias("s1_id"), "cand_id", F.round(f.dot("embedding", "w"), 6).alias("value"))
+
+
+def cust_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Both normalised sides, kept candidates and their raw form, of the fixture with numbers."""
+    one, two = (normalised(x) for x in sides(entities(spark, sf_dir, "cust")))
+    pairs = blocking.capped(candidates(one, two), 100)
+    return one, two, pairs, prescreen.attributes(pairs, one, two, *LINK_COLUMNS)
+
+
+LINK_COLUMNS = ("business_name", "business_address", "country", "norm_name", "rom_name", "norm_addr", "number", "acronym", "has_legal")
+
+
+@query("features_v1")
+def _features_v1(spark, sf_dir):
+    return pair_features.first(cust_pairs(spark, sf_dir)[3])
+
+
+@query("features_v2")
+def _features_v2(spark, sf_dir):
+    return pair_features.second(cust_pairs(spark, sf_dir)[3])
+
+
+@query("topk_v1")
+def _topk_v1(spark, sf_dir):
+    return prescreen.first_top(cust_pairs(spark, sf_dir)[3], 30).select("s1_id", "cand_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("topk_v6")
+def _topk_v6(spark, sf_dir):
+    return blocking.top(prescreen.sixth_score(cust_pairs(spark, sf_dir)[3]), 28, F.desc("score")).select("s1_id", "cand_id", F.round("score", 6).alias("score"), "rank")
+
+
+# ranking, decisions, metrics on pseudo-scores -------------------------------------------------------------------
+
+_id1, _id2 = "cast(substr(s1_id, 4) as bigint)", "cast(substr(cand_id, 4) as bigint)"
+_sc = f"(({_id1} * 37 + {_id2} * 101) % 1000) / 1000.0"
+_scored = _pairs + f", s as (select s1_id, cand_id, n_keys, ({_sc})::double as score from p)"
+
+
+def pseudo(spark, sf_dir) -> DataFrame:
+    a, b = (F.substring(c, 4, 18).cast("long") for c in ("s1_id", "cand_id"))
+    return doc_pairs(spark, sf_dir).withColumn("score", ((a * 37 + b * 101) % 1000) / F.lit(1000.0))
+
+
+@query("topk_pairs", _scored + " select s1_id, cand_id, score, row_number() over w as rank from s window w as (partition by s1_id order by score desc, cand_id) qualify row_number() over w <= 10")
+def _topk(spark, sf_dir):
+    return blocking.top(pseudo(spark, sf_dir), 10, F.desc("score")).select("s1_id", "cand_id", "score", C("rank").cast("long"))
+
+
+_chan = (
+    _scored
+    + f""", c as (select s1_id, cand_id, 2.2 * score as comp, ({_id2} % 97) / 97.0::double as best_addr, ({_id2} % 89) / 89.0::double as rom_score, {_id2} % 2 = 0 as roman_wins, {_id2} % 3 = 0 as rescue from s),
+u as (select s1_id, cand_id, comp from c qualify row_number() over (partition by s1_id order by comp desc, cand_id) <= 25
+union select s1_id, cand_id, comp from c where comp >= 1.40
+union select s1_id, cand_id, comp from c qualify row_number() over (partition by s1_id order by best_addr desc, cand_id) <= 10
+union select s1_id, cand_id, comp from (select * from c where roman_wins) qualify row_number() over (partition by s1_id order by rom_score desc, cand_id) <= 10
+union select s1_id, cand_id, comp from (select * from c where rescue) qualify row_number() over (partition by s1_id order by comp desc, cand_id) <= 10)
+select s1_id, cand_id, round(comp, 6) as comp, row_number() over (partition by s1_id order by comp desc, cand_id) as rank from u qualify row_number() over (partition by s1_id order by comp desc, cand_id) <= 40"""
+)
+
+
+@query("prescreen_channels", _chan)
+def _channels(spark, sf_dir):
+    b = F.substring("cand_id", 4, 18).cast("long")
+    df = pseudo(spark, sf_dir).select("s1_id", "cand_id", (F.lit(2.2) * C("score")).alias("comp"), ((b % 97) / F.lit(97.0)).alias("best_addr"), ((b % 89) / F.lit(89.0)).alias("rom_score"), (b % 2 == 0).alias("roman_wins"), (b % 3 == 0).alias("rescue"))
+    return prescreen.channels(df, cap=40).select("s1_id", "cand_id", F.round("comp", 6).alias("comp"), C("rank").cast("long"))
+
+
+@query("decide_threshold", _scored + " select s1_id, cand_id, score from s where score >= 0.9")
+def _threshold(spark, sf_dir):
+    return decide.threshold(pseudo(spark, sf_dir), 0.9).select("s1_id", "cand_id", "score")
+
+
+@query("decide_gate", _scored + " select s1_id, cand_id, score from s qualify max(score) over (partition by s1_id) >= 0.85 and score >= 0.82")
+def _gate(spark, sf_dir):
+    return decide.gated(pseudo(spark, sf_dir)).select("s1_id", "cand_id", "score")
+
+
+@query("decide_fallback", _scored + " select s1_id, cand_id, score from s qualify score >= 0.88 or (max(score) over (partition by s1_id) < 0.88 and score >= 0.70 and row_number() over (partition by s1_id order by score desc, cand_id) = 1)")
+def _fallback(spark, sf_dir):
+    return decide.with_fallback(pseudo(spark, sf_dir)).select("s1_id", "cand_id", "score")
+
+
+_counts = ", i as (select distinct entity_id as s1_id from e where starts_with(entity_id, 'S1-')), n as (select i.s1_id, (select count(*) from x where x.s1_id = i.s1_id) as t, (select count(*) from pr where pr.s1_id = i.s1_id) as k, (select count(*) from x join pr using (s1_id, cand_id) where x.s1_id = i.s1_id) as h from i)"
+_f05 = "case when t = 0 and k = 0 then 1.0 when t = 0 or k = 0 or h = 0 then 0.0 else 1.25 * (h / k::double) * (h / t::double) / (0.25 * (h / k::double) + h / t::double) end"
+
+
+@query("macro_f05", _scored + f", {_TRUE}, pr as (select s1_id, cand_id from s where score >= 0.5){_counts} select count(*) as entities, round(avg({_f05}), 6) as f05, round(avg(case when k = 0 then 1.0 else h / k::double end), 6) as precision, round(avg(case when t = 0 then (case when k = 0 then 1.0 else 0.0 end) else h / t::double end), 6) as recall from n")
+def _macro(spark, sf_dir):
+    s1, _ = sides(entities(spark, sf_dir, "doc"))
+    out = metrics.macro(s1, doc_truth(spark, sf_dir), decide.threshold(pseudo(spark, sf_dir), 0.5))
+    return out.select("entities", *[F.round(c, 6).alias(c) for c in ("f05", "precision", "recall")])
+
+
+@query("tune_grid", _scored + f""", {_TRUE}, i as (select distinct entity_id as s1_id from e where starts_with(entity_id, 'S1-')),
+gr as (select a.theta, b.gate from (values (0.2::double), (0.5), (0.8)) a(theta), (values (0.3::double), (0.6), (0.9)) b(gate)),
+mx as (select *, max(score) over (partition by s1_id) as top from s),
+n as (select g.theta, g.gate, i.s1_id, (select count(*) from x where x.s1_id = i.s1_id) as t, count(m.cand_id) as k, count(x.cand_id) as h
+      from gr g cross join i left join mx m on m.s1_id = i.s1_id and m.score >= g.theta and m.top >= g.gate left join x on x.s1_id = m.s1_id and x.cand_id = m.cand_id group by all)
+select theta, gate, round(avg({_f05}), 6) as f05 from n group by all""")
+def _tune(spark, sf_dir):
+    s1, _ = sides(entities(spark, sf_dir, "doc"))
+    out = metrics.tune(s1, doc_truth(spark, sf_dir), pseudo(spark, sf_dir), [0.2, 0.5, 0.8], [0.3, 0.6, 0.9])
+    return out.select("theta", "gate", F.round("f05", 6).alias("f05"))
+
+
+@query("run_counters", _scored + ", m as (select s1_id, count(*) as m from s where score >= 0.8 group by 1), c as (select s1_id, count(*) as c from s group by 1) select count(*) as queries, count_if(coalesce(m, 0) = 0) as singletons, coalesce(sum(m), 0)::bigint as matched, count_if(m > 1) as several, coalesce(sum(c), 0)::bigint as candidates from (select entity_id as s1_id from e where starts_with(entity_id, 'S1-')) left join m using (s1_id) left join c using (s1_id)")
+def _counters(spark, sf_dir):
+    s1, _ = sides(entities(spark, sf_dir, "doc"))
+    df = pseudo(spark, sf_dir)
+    return decide.counters(s1, df, decide.threshold(df, 0.8))
+
+
+@query("match_list_sink", _scored + " select i.s1_id, coalesce(string_agg(distinct s.cand_id, ',' order by s.cand_id), '') as ids from (select entity_id as s1_id from e where starts_with(entity_id, 'S1-')) i left join (select * from s where score >= 0.8) s using (s1_id) group by 1")
+def _match_lists(spark, sf_dir):
+    s1, _ = sides(entities(spark, sf_dir, "doc"))
+    return decide.lists(s1, decide.threshold(pseudo(spark, sf_dir), 0.8))
+
+
+@query("candidate_list_sink", _scored + ", r as (select *, row_number() over (partition by s1_id order by score desc, cand_id) as r from s) select i.s1_id, coalesce(string_agg(r.cand_id, ',' order by r.r), '') as ids from (select entity_id as s1_id from e where starts_with(entity_id, 'S1-')) i left join r using (s1_id) group by 1")
+def _candidate_lists(spark, sf_dir):
+    s1, _ = sides(entities(spark, sf_dir, "doc"))
+    return decide.lists(s1, blocking.top(pseudo(spark, sf_dir), 1 << 30, F.desc("score")), "rank")
+
+
+@query("s23_union", f"with e as ({SQL['cust']}) select * from e where starts_with(entity_id, 'S2-') union all select * from e where starts_with(entity_id, 'S3-')")
+def _union(spark, sf_dir):
+    e = entities(spark, sf_dir, "cust")
+    return e.filter(C("entity_id").startswith("S2-")).unionByName(e.filter(C("entity_id").startswith("S3-")))
+
+
+@query("truth_labels", _scored + f", {_TRUE} select s.s1_id, s.cand_id, case when x.s1_id is null then 0 else 1 end as label from s left join x using (s1_id, cand_id)")
+def _labels(spark, sf_dir):
+    return pair_features.labelled(pseudo(spark, sf_dir).select("s1_id", "cand_id"), doc_truth(spark, sf_dir))
+
+
+@query("needed_entities", _pairs + " select entity_id, business_name from e where entity_id in (select cand_id from p)")
+def _needed(spark, sf_dir):
+    used = doc_pairs(spark, sf_dir).select(C("cand_id").alias("entity_id")).distinct()
+    return entities(spark, sf_dir, "doc").join(used, "entity_id", "left_semi").select("entity_id", "business_name")
+
+
+@query("neg_sample")
+def _negatives(spark, sf_dir):
+    return pair_features.training_pairs(pair_features.labelled(doc_pairs(spark, sf_dir), doc_truth(spark, sf_dir)))
+
+
+@query("grouped_split")
+def _split(spark, sf_dir):
+    return pair_features.grouped_split(doc_pairs(spark, sf_dir))
+
+
+# validator ------------------------------------------------------------------------------------------------------
+
+
+def messy(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Match rows with faults of every kind, required ids, valid entities, candidate rows."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    own = F.concat(F.lit("S1-"), (C("o_orderkey") % 700).cast("string"))
+    two, three = F.concat(F.lit("S2-"), (C("o_custkey") % 50).cast("string")), F.concat(F.lit("S3-"), (C("o_orderkey") % 40).cast("string"))
+    odd = F.when(C("o_orderkey") % 11 == 0, own).when(C("o_orderkey") % 13 == 0, F.lit("X-1")).when(C("o_orderkey") % 17 == 0, two).otherwise(three)
+    rows = o.select(own.alias("s1_id"), F.when(C("o_orderkey") % 5 == 0, "").otherwise(F.concat_ws(",", two, odd)).alias("ids"))
+    ids = spark.range(650).select(F.concat(F.lit("S1-"), C("id").cast("string")).alias("s1_id"))
+    valid = spark.range(45).select(F.concat(F.lit("S2-"), C("id").cast("string")).alias("entity_id")).union(spark.range(40).select(F.concat(F.lit("S3-"), C("id").cast("string"))))
+    return rows, ids, valid, o.select(own.alias("s1_id"), F.concat_ws(",", two, three).alias("ids"))
+
+
+_messy = """with o as (select o_orderkey as k, 'S1-' || (o_orderkey % 700)::varchar as s1_id, 'S2-' || (o_custkey % 50)::varchar as two, 'S3-' || (o_orderkey % 40)::varchar as three from orders),
+r as (select s1_id, case when k % 5 = 0 then '' else two || ',' || (case when k % 11 = 0 then s1_id when k % 13 = 0 then 'X-1' when k % 17 = 0 then two else three end) end as ids from o),
+l as (select s1_id, case when ids = '' then [] else string_split(ids, ',') end as l from r), u as (select s1_id, unnest(l) as id from l),
+q as (select 'S1-' || unnest(range(650))::varchar as s1_id), v as (select 'S2-' || unnest(range(45))::varchar as id union all select 'S3-' || unnest(range(40))::varchar),
+c as (select s1_id, unnest([two, three]) as id from o)"""
+_rules = {
+    "duplicate_row": "select 'duplicate_row' as rule, s1_id as what from r group by s1_id having count(*) > 1",
+    "duplicate_id": "select 'duplicate_id' as rule, s1_id as what from l where len(l) <> len(list_distinct(l))",
+    "self_match": "select 'self_match' as rule, s1_id || ' -> ' || id as what from u where starts_with(id, 'S1-')",
+    "bad_prefix": "select 'bad_prefix' as rule, s1_id || ' -> ' || id as what from u where not regexp_matches(id, '^S[123]-')",
+    "missing_s1": "select distinct 'missing_s1' as rule, s1_id as what from q where s1_id not in (select s1_id from r)",
+    "extra_s1": "select distinct 'extra_s1' as rule, s1_id as what from r where s1_id not in (select s1_id from q)",
+    "unknown_id": "select 'unknown_id' as rule, s1_id || ' -> ' || id as what from u where regexp_matches(id, '^S[23]-') and id not in (select id from v)",
+    "not_candidate": "select 'not_candidate' as rule, s1_id || ' -> ' || id as what from u where not exists (select 1 from c where c.s1_id = u.s1_id and c.id = u.id)",
+}
+_all_rules = " union all ".join(_rules.values())
+
+
+@query("val_findings", f"{_messy} {_all_rules}")
+def _findings(spark, sf_dir):
+    rows, ids, valid, cand = messy(spark, sf_dir)
+    return validate.findings(rows, ids, valid, cand)
+
+
+@query("val_report", f"{_messy}, f as ({_all_rules}) select rule, case when rule = 'not_candidate' then 'warning' else 'error' end as severity, count(*) as n, array_to_string((list_sort(list_distinct(list(what))))[1:5], '; ') as examples from f group by rule")
+def _report(spark, sf_dir):
+    rows, ids, valid, cand = messy(spark, sf_dir)
+    return validate.report(validate.findings(rows, ids, valid, cand))
+
+
+@query("val_summary", f"{_messy} select count(*) as n_rows, count_if(ids = '') as n_empty, count_if(ids <> '') as n_filled from r")
+def _summary(spark, sf_dir):
+    return validate.summary(messy(spark, sf_dir)[0])
+
+
+# whole linkage --------------------------------------------------------------------------------------------------
+
+
+@query("link_rule")
+def _link(spark, sf_dir):
+    """Matches of the fixture with numbers, second generation, by the rule."""
+    _, matches = link(*sides(entities(spark, sf_dir, "cust")))
+    return matches.select("s1_id", "cand_id", F.round("score", 6).alias("score"))
+
+
+@query("link_candidates")
+def _link_candidates(spark, sf_dir):
+    kept, _ = link(*sides(entities(spark, sf_dir, "cust")), LinkConfig(per_entity=28))
+    return kept.select("s1_id", "cand_id", F.round("comp", 6).alias("comp"), "rank")
+
+
+@query("gbt_score")
+def _gbt(spark, sf_dir):
+    """Trees trained on number agreement between names, scored on the same pairs."""
+    _, _, _, df = cust_pairs(spark, sf_dir)
+    vectors = pair_features.second(df).cache()
+    label = F.when((C("num_exact") == 1) & (C("name_c3") > 0.5), 1).otherwise(0)
+    fitted = model.train(vectors.withColumn("label", label), pair_features.SECOND, rounds=5, depth=3)
+    return model.score(fitted, vectors).select("s1_id", "cand_id", F.round("score", 4).alias("score"))
 
 
+@query("linkage_slice", _pairs + f""", b as (select p.*, {S.jaccard(S.ascii_tokens('x.business_name', 2), S.ascii_tokens('y.business_name', 2))} as j from p join e x on x.entity_id = p.s1_id join e y on y.entity_id = p.cand_id)
+select s1_id, cand_id, n_keys, round(j, 6) as jaccard from b qualify row_number() over (partition by s1_id order by j desc, cand_id) = 1""")
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    raise NotImplementedError
+    """Words as keys, pruned, joined in one country, ranked by token Jaccard: the best candidate of each query."""
+    df = pair_texts(spark, sf_dir)
+    j = f.jaccard(*(text.ascii_tokens(c, 2) for c in N))
+    best = Window.partitionBy("s1_id").orderBy(F.desc("j"), "cand_id")
+    out = df.withColumn("j", j).withColumn("r", F.row_number().over(best)).filter("r = 1")
+    return out.select("s1_id", "cand_id", "n_keys", F.round("j", 6).alias("jaccard"))

@@ -133,7 +133,7 @@ _own = S.ascii_tokens(_n, 2)
 keyed("keys_v2_tok2", "doc", lambda: keys.v2_names(name()), f"case when len({_own}) = 1 then ['tok1:' || ({_own})[1]] else {S.pairs(f'({_own})[1:5]', 'tok2:', False)} end")
 _gen = ", ".join(map(S.quoted, T.GENERIC_ADDRESS))
 _at = f"list_filter({S.ascii_tokens(_a, 3)}, lambda t: t not in ({_gen}))"
-keyed("keys_v2_adr2", "part", lambda: keys.v2_addresses(address()), S.pairs(f"({_at})[1:4]", "adr2:", False))
+keyed("keys_v2_adr2", "doc", lambda: keys.v2_addresses(address()), S.pairs(f"({_at})[1:4]", "adr2:", False))
 _nums = f"(list_filter(list_transform({S.numbers('business_address')}, lambda n: ltrim(n, '0')), lambda n: length(n) >= 2))[1:2]"
 keyed(
     "keys_v2_numjoint", "cust", lambda: keys.v2_numbers(C("business_address"), address(), name(), name()),

@@ -29,8 +29,7 @@ K, EVERY = 5, 50
 
 def pivots(rows: DataFrame) -> np.ndarray:
     picked = rows.dropDuplicates(["v"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()  # at most PIVOTS rows
-    m = np.array([r["v"] for r in picked], dtype=np.float64).reshape(len(picked), -1)
-    return unit(m)
+    return unit(np.array([r["v"] for r in picked], dtype=np.float64)) if picked else np.zeros((0, 0))
 
 
 def unit(m: np.ndarray) -> np.ndarray:

@@ -136,6 +136,8 @@ class Models:
         width = len(self.langs)
         self.keys, self.logs, self.contexts, self.backs = [], [], [], []
         self.unseen = np.zeros(width)
+        if not width:
+            return
         for n in range(1, ORDER + 1):
             rows = counts[counts["o"] == n]
             keys, first = np.unique(rows["key"].to_numpy(), return_index=True)
@@ -160,7 +162,7 @@ class Models:
                 prob[at, k] = np.maximum(c - d, 0) / total[place]
             if n == 1:
                 letters = len(keys) + 1
-                self.unseen = np.log(back[0] / letters) if len(ctx) else np.zeros(width)
+                self.unseen = np.log(back[0] / letters)
                 prob += back[0] / letters
             else:
                 at, there = looked_up(self.keys[-1], suffix)

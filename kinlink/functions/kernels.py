@@ -12,12 +12,10 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 
 from kinlink.functions import tables as T
 
 KINDS = ("ratio", "sort_ratio", "set_ratio", "jaro_winkler")
-SCORES = Ty.StructType([Ty.StructField(k, Ty.DoubleType()) for k in KINDS])
 
 
 def common(a: str, b: str) -> int:
@@ -87,14 +85,20 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-def _scored(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    pairs = [(x or "", y or "") for x, y in zip(a, b, strict=True)]
-    return pd.DataFrame({k: [f(x, y) for x, y in pairs] for k, f in zip(KINDS, (ratio, sort_ratio, set_ratio, jaro_winkler), strict=True)})
+KERNELS = dict(zip(KINDS, (ratio, sort_ratio, set_ratio, jaro_winkler), strict=True))
 
 
-def similarities(a: str | Column, b: str | Column) -> Column:
-    """Struct of ratio, sort_ratio, set_ratio and jaro_winkler; null counts as empty."""
-    return F.pandas_udf(_scored, SCORES).asNondeterministic()(a, b)
+def similarities(a: str | Column, b: str | Column, *kinds: str) -> Column:
+    """Struct of the named kernels (all of KINDS by default); null counts as empty. Equal pairs of a batch are computed once."""
+    kinds = kinds or KINDS
+
+    def scored(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        pairs = list(zip(x.fillna(""), y.fillna(""), strict=True))
+        known = {p: tuple(KERNELS[k](*p) for k in kinds) for p in set(pairs)}
+        return pd.DataFrame([known[p] for p in pairs], columns=list(kinds), dtype="float64")
+
+    scored.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(scored, ", ".join(f"{k} double" for k in kinds)).asNondeterministic()(a, b)
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -23,8 +23,8 @@ KEEP = ("s1_id", "cand_id")
 
 def first(df: DataFrame) -> DataFrame:
     """Of pairs with norm_name, norm_addr, has_legal and country of both sides; emb_name and emb_addr count where present."""
-    df = df.withColumn("_n", similarities(cut("norm_name_1", 150), cut("norm_name_2", 150)))
-    df = df.withColumn("_a", similarities(cut("norm_addr_1", 100), cut("norm_addr_2", 100)))
+    df = df.withColumn("_n", similarities(cut("norm_name_1", 150), cut("norm_name_2", 150), "ratio", "sort_ratio"))
+    df = df.withColumn("_a", similarities(cut("norm_addr_1", 100), cut("norm_addr_2", 100), "ratio"))
     n, a = ("norm_name_1", "norm_name_2"), ("norm_addr_1", "norm_addr_2")
     emb = {k: f.dot(f"emb_{k}_1", f"emb_{k}_2") if f"emb_{k}_1" in df.columns else F.lit(0.0) for k in ("name", "addr")}
     cols = {
@@ -39,9 +39,9 @@ def first(df: DataFrame) -> DataFrame:
 
 def second(df: DataFrame) -> DataFrame:
     """Of pairs with norm_name, rom_name, norm_addr, number, acronym and has_legal of both sides."""
-    df = df.withColumn("_n", similarities(cut("norm_name_1", 120), cut("norm_name_2", 120)))
-    df = df.withColumn("_r", similarities(cut("rom_name_1", 120), cut("rom_name_2", 120)))
-    df = df.withColumn("_a", similarities(cut("norm_addr_1", 100), cut("norm_addr_2", 100)))
+    df = df.withColumn("_n", similarities(cut("norm_name_1", 120), cut("norm_name_2", 120), "ratio", "set_ratio", "jaro_winkler"))
+    df = df.withColumn("_r", similarities(cut("rom_name_1", 120), cut("rom_name_2", 120), "ratio", "set_ratio", "jaro_winkler"))
+    df = df.withColumn("_a", similarities(cut("norm_addr_1", 100), cut("norm_addr_2", 100), "ratio", "set_ratio", "jaro_winkler"))
     n, a = ("norm_name_1", "norm_name_2"), ("norm_addr_1", "norm_addr_2")
     cols = {
         "name_tj": f.token_jaccard(*n), "name_lev": F.col("_n.ratio"), "name_jw": F.col("_n.jaro_winkler"), "name_tsr": F.col("_n.set_ratio"),

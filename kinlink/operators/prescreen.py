@@ -37,17 +37,18 @@ def sixth_score(df: DataFrame) -> DataFrame:
     """Later first generation: 1.25 times the best of ratio, token-set ratio and that of the folded raw names, plus the address."""
     from kinlink.functions.kernels import accent_fold
 
-    df = df.withColumn("_n", similarities(cut("norm_name_1", 100), cut("norm_name_2", 100)))
-    df = df.withColumn("_r", similarities(F.lower(accent_fold(filled("business_name_1"))), F.lower(accent_fold(filled("business_name_2")))))
+    df = df.withColumn("_n", similarities(cut("norm_name_1", 100), cut("norm_name_2", 100), "ratio", "set_ratio"))
+    df = df.withColumns({"_f1": F.lower(accent_fold(filled("business_name_1"))), "_f2": F.lower(accent_fold(filled("business_name_2")))})
+    df = df.withColumn("_r", similarities("_f1", "_f2", "set_ratio"))
     best = F.greatest("_n.ratio", "_n.set_ratio", "_r.set_ratio")
-    return df.withColumn("score", 1.25 * best + indel(cut("norm_addr_1", 80), cut("norm_addr_2", 80))).drop("_n", "_r")
+    return df.withColumn("score", 1.25 * best + indel(cut("norm_addr_1", 80), cut("norm_addr_2", 80))).drop("_n", "_r", "_f1", "_f2")
 
 
 def channel_scores(df: DataFrame) -> DataFrame:
     """Second generation: best_name, best_addr, comp (1.2 name + address), roman_wins, rescue (acronym or number agrees)."""
-    df = df.withColumn("_n", similarities(cut("norm_name_1", 80), cut("norm_name_2", 80)))
-    df = df.withColumn("_r", similarities(cut("rom_name_1", 80), cut("rom_name_2", 80)))
-    df = df.withColumn("_a", similarities(cut("norm_addr_1", 70), cut("norm_addr_2", 70)))
+    df = df.withColumn("_n", similarities(cut("norm_name_1", 80), cut("norm_name_2", 80), "ratio", "set_ratio"))
+    df = df.withColumn("_r", similarities(cut("rom_name_1", 80), cut("rom_name_2", 80), "ratio", "set_ratio"))
+    df = df.withColumn("_a", similarities(cut("norm_addr_1", 70), cut("norm_addr_2", 70), "ratio", "set_ratio"))
     raw, rom = F.greatest("_n.ratio", "_n.set_ratio"), F.greatest("_r.ratio", "_r.set_ratio")
     df = df.withColumns({"best_name": F.greatest(raw, rom), "best_addr": F.greatest("_a.ratio", "_a.set_ratio"), "rom_score": rom, "roman_wins": rom > raw})
     agrees = lambda c: (filled(f"{c}_1") != "") & (filled(f"{c}_1") == filled(f"{c}_2"))

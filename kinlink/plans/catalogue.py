@@ -285,7 +285,7 @@ def _indel(spark, sf_dir):
 @query("feat_jaro_winkler", f"{_both} select s1_id, cand_id, round(case when n1 = n2 then 1.0 else jaro_winkler_similarity(regexp_replace(n1, '[^ -~]', '', 'g'), regexp_replace(n2, '[^ -~]', '', 'g')) end, 6) as value from b")
 def _jw(spark, sf_dir):
     plain = [F.regexp_replace(c, "[^ -~]", "") for c in N]
-    df = pair_texts(spark, sf_dir).withColumn("s", similarities(*plain))
+    df = pair_texts(spark, sf_dir).withColumn("s", similarities(*plain, "jaro_winkler"))
     return df.select("s1_id", "cand_id", F.round("s.jaro_winkler", 6).alias("value"))
 
 

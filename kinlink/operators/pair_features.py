@@ -77,3 +77,12 @@ def grouped_split(pairs: DataFrame, percent: int = 15, seed: int = 42) -> DataFr
     return pairs.withColumn("validation", F.pmod(F.xxhash64("s1_id", F.lit(seed)), F.lit(100)) < percent)
 
 
+
+
+def selected_pairs(truth: DataFrame, candidates: DataFrame, positives: int, negatives: int, seed: int = 42) -> DataFrame:
+    """s1_id, cand_id, label: so many true pairs and so many candidates that are not true, by hash, the same on every run."""
+    key = F.xxhash64(*KEEP, F.lit(seed))
+    true = truth.select(*KEEP).distinct()
+    yes = true.orderBy(key, *KEEP).limit(positives).withColumn("label", F.lit(1))
+    no = candidates.select(*KEEP).join(true, list(KEEP), "left_anti").distinct().orderBy(key, *KEEP).limit(negatives).withColumn("label", F.lit(0))
+    return yes.union(no)

@@ -78,3 +78,57 @@ def malformed(lines: DataFrame) -> DataFrame:
 def passes(reported: DataFrame) -> bool:
     """Whether no error, warnings aside, was reported."""
     return reported.filter("severity = 'error'").limit(1).count() == 0
+
+
+def exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_lists(spark, path: str, expected: list[str]) -> tuple[DataFrame | None, DataFrame | None, list[str]]:
+    """Rows (s1_id, ids) and malformed lines of a list file, or what keeps it from being read. Blank lines are ignored."""
+    if not exists(spark, path):
+        return None, None, [f"{path} does not exist"]
+    lines = spark.read.text(path)
+    if lines.filter(~F.is_valid_utf8("value")).limit(1).count():
+        return None, None, [f"{path} is not UTF-8"]
+    head = lines.limit(1).collect()  # the first line of the first file
+    wrong = header_errors(head[0]["value"] if head else None, expected)
+    if wrong:
+        return None, None, wrong
+    header = F.lower(F.array_join(F.transform(F.split("value", "\t"), lambda x: F.trim(x)), "\t"))
+    body = lines.filter(header != "\t".join(expected))
+    parts = F.split("value", "\t", 2)
+    rows = body.filter(F.col("value").contains("\t")).select(F.trim(F.get(parts, F.lit(0))).alias("s1_id"), F.trim(F.get(parts, F.lit(1))).alias("ids"))
+    return rows, malformed(body), []
+
+
+def validate_files(spark, matches: str, candidates: str | None, required: str, targets: tuple[str, ...] = ()) -> tuple[list[str], list[str], DataFrame | None]:
+    """Errors, warnings and the report of a match file and its optional candidate file.
+
+    required: the file of query entities; targets: files of target entities, whose ids are checked where they exist.
+    """
+    from kinlink.sources import tsv
+
+    if not exists(spark, required):
+        return [f"{required} does not exist"], [], None
+    rows, bad, errors = read_lists(spark, matches, tsv.MATCHES)
+    if errors:
+        return errors, [], None
+    warnings, cand, valid = [], None, None
+    if candidates is None or not exists(spark, candidates):
+        warnings.append("no candidate file: matches are not checked against candidates")
+    else:
+        cand, cand_bad, errors = read_lists(spark, candidates, tsv.CANDIDATES)
+        bad = bad.union(cand_bad) if cand_bad is not None else bad
+    if targets and all(exists(spark, t) for t in targets):
+        valid = tsv.id_column(spark, targets[0])
+        for t in targets[1:]:
+            valid = valid.union(tsv.id_column(spark, t))
+    else:
+        warnings.append("no target files: ids are not checked")
+    need = tsv.id_column(spark, required).withColumnRenamed("entity_id", "s1_id")
+    out = report(findings(rows, need, valid, cand).union(bad))
+    for r in out.collect():  # one row for each rule
+        (warnings if r["severity"] == "warning" else errors).append(f"{r['rule']}: {r['n']} ({r['examples']})")
+    return errors, warnings, out

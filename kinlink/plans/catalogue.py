@@ -18,7 +18,7 @@ from kinlink.functions.kernels import KINDS, accent_fold, similarities
 from kinlink.operators import blocking, decide, keys, metrics, model, pair_features, prescreen, validate
 from kinlink.plans import sqlbits as S
 from kinlink.plans.fixtures import SQL, entities, sides
-from kinlink.plans.link import LinkConfig, candidates, link, normalised
+from kinlink.plans.link import LinkConfig, candidates, link, normalised, normalised_first
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,6 +105,14 @@ def _domains(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.domain_strip(host).alias("value"))
 
 
+_legal = rf"regexp_matches(lower(coalesce(business_name, '')), '(^|[^{S.W}])({_forms})($|[^{S.W}])')"
+
+
+@query("normalise_v1", f"with e as ({SQL['part']}) select *, {S.squeeze(S.hyphens(_first))} as norm_name, {_legal} as has_legal, {S.squeeze(S.hyphens(_where))} as norm_addr from e")
+def _normalise_v1(spark, sf_dir):
+    return normalised_first(entities(spark, sf_dir, "part"))
+
+
 # keys -----------------------------------------------------------------------------------------------------------
 
 _n, _a = S.name("business_name"), S.address("business_address", "country")
@@ -444,6 +452,20 @@ def _needed(spark, sf_dir):
     return entities(spark, sf_dir, "doc").join(used, "entity_id", "left_semi").select("entity_id", "business_name")
 
 
+@query("pair_selection")
+def _selection(spark, sf_dir):
+    """A stated number of positives and negatives by hash: the operator is a sample."""
+    return pair_features.selected_pairs(doc_truth(spark, sf_dir), doc_pairs(spark, sf_dir), 20, 60)
+
+
+@query("two_stage_tune")
+def _two_stage(spark, sf_dir):
+    """The threshold, the gate (null if it does not help) and the metric of the two-stage search; tests hold it against the grid."""
+    s1, _ = sides(entities(spark, sf_dir, "doc"))
+    theta, gate, f05 = metrics.two_stage(s1, doc_truth(spark, sf_dir), pseudo(spark, sf_dir))
+    return spark.createDataFrame([(theta, gate, round(f05, 6))], "theta double, gate double, f05 double")
+
+
 @query("neg_sample")
 def _negatives(spark, sf_dir):
     return pair_features.training_pairs(pair_features.labelled(doc_pairs(spark, sf_dir), doc_truth(spark, sf_dir)))

@@ -37,6 +37,15 @@ def normalised(entities: DataFrame) -> DataFrame:
     })
 
 
+def normalised_first(entities: DataFrame) -> DataFrame:
+    """entities with the column-wise first-generation norm_name, has_legal and norm_addr."""
+    return entities.withColumns({
+        "norm_name": text.name_columnwise("business_name"),
+        "has_legal": text.has_legal("business_name", dotted=False),
+        "norm_addr": text.address_columnwise("business_address"),
+    })
+
+
 COLUMNS = ("business_name", "business_address", "country", "norm_name", "rom_name", "norm_addr", "number", "acronym", "has_legal")
 
 

@@ -161,3 +161,44 @@ def test_readers(spark, tmp_path):
     assert tsv.sample(df, 1).count() == 1
     vectors = spark.createDataFrame([("S2-1", [1.0, 2.0])], "entity_id string, vector array<double>")
     assert tsv.embeddings(df, vectors, "emb_name").filter("emb_name is null").count() == 1
+
+
+def test_two_stage_tuning(spark):
+    df = scored(spark)
+    s1 = spark.createDataFrame([(x,) for x in "abcde"], "entity_id string")
+    truth = spark.createDataFrame([("a", "x"), ("b", "y")], "s1_id string, cand_id string")
+    theta, gate, f05 = metrics.two_stage(s1, truth, df)
+    assert gate is None or gate >= theta
+    alone = max(metrics.macro(s1, truth, decide.threshold(df, t)).first()["f05"] for t in (0.05, 0.61, 0.76, 0.84, 0.85, 0.9, 0.95))
+    assert f05 >= alone - 1e-12
+    got = decide.gated(df, theta, gate) if gate else decide.threshold(df, theta)
+    assert abs(metrics.macro(s1, truth, got).first()["f05"] - f05) < 1e-12
+
+
+def test_selected_pairs(spark):
+    truth = spark.createDataFrame([("a", str(k)) for k in range(10)], "s1_id string, cand_id string")
+    cand = spark.createDataFrame([("a", str(k)) for k in range(5, 30)], "s1_id string, cand_id string")
+    got = pair_features.selected_pairs(truth, cand, 4, 6).collect()
+    assert sum(r["label"] for r in got) == 4 and len(got) == 10 and all((int(r["cand_id"]) < 10) == (r["label"] == 1) for r in got)
+
+
+def test_validate_files(spark, tmp_path):
+    ent = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
+    (tmp_path / "s1.tsv").write_text(ent + "S1-1\ta\tb\tc\nS1-2\ta\tb\tc\n")
+    (tmp_path / "s2.tsv").write_text(ent + "S2-1\ta\tb\tc\n")
+    (tmp_path / "m.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\n\nS1-2\t\n")
+    (tmp_path / "c.tsv").write_text("source1_entity_id\tcandidate_entity_ids\nS1-1\t\nS1-2\t\n")
+    at = lambda n: f"file://{tmp_path}/{n}"
+    errors, warnings, _ = validate.validate_files(spark, at("m.tsv"), at("c.tsv"), at("s1.tsv"), (at("s2.tsv"),))
+    assert errors == [] and len(warnings) == 1 and warnings[0].startswith("not_candidate: 1")
+    errors, warnings, _ = validate.validate_files(spark, at("m.tsv"), None, at("s1.tsv"))
+    assert errors == [] and len(warnings) == 2
+    (tmp_path / "bad.tsv").write_text("source1_entity_id\tmatched_entity_ids\nbroken\nS1-1\tS3-9\n")
+    errors, _, _ = validate.validate_files(spark, at("bad.tsv"), None, at("s1.tsv"), (at("s2.tsv"),))
+    assert [e.split(":")[0] for e in sorted(errors)] == ["malformed", "missing_s1", "unknown_id"]
+    (tmp_path / "comma.tsv").write_text("a,b\n")
+    (tmp_path / "latin.tsv").write_bytes(b"source1_entity_id\tmatched_entity_ids\nS1-1\t\xff\n")
+    (tmp_path / "none.tsv").write_text("")
+    for name in ("comma.tsv", "latin.tsv", "none.tsv", "absent.tsv"):
+        assert validate.validate_files(spark, at(name), None, at("s1.tsv"))[0]
+    assert validate.validate_files(spark, at("m.tsv"), None, at("absent.tsv"))[0]

@@ -25,8 +25,8 @@ PATTERNS = {
     # whole runs of digits with single separators, of 16 to 19 digits
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9_])",
+    "ssn": r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])",
 }
 BASE = ("email", "ip", "card", "phone")
 #: What a text must hold for a kind's pattern to be tried at all.
@@ -186,3 +186,48 @@ def op10_private(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(PATTERNS).alias("spans"),
         F.array_join(F.concat(*[F.transform(k, lambda s: F.format_number(s["score"], 2)) for k in PATTERNS]), ",").alias("scores"),
     )
+
+
+# DuckDB: plain patterns (its matcher is linear and knows no look-around), the same checks and context.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+}
+_D = "regexp_replace(s.m, '[^0-9]', '', 'g')"
+_I = "replace(s.m, ' ', '')"
+_LUHN = f"list_sum(list_transform(range(1, length({_D}) + 1), lambda i: case when i % 2 = 1 then substr(reverse({_D}), i, 1)::int when substr(reverse({_D}), i, 1)::int > 4 then 2 * substr(reverse({_D}), i, 1)::int - 9 else 2 * substr(reverse({_D}), i, 1)::int end)) % 10 = 0"
+_MOD97 = f"list_reduce(list_prepend(0, list_transform(string_split(substr({_I}, 5) || substr({_I}, 1, 4), ''), lambda x: case when x >= 'A' then ascii(x) - 55 else ascii(x) - 48 end)), lambda a, n: (a * (case when n >= 10 then 100 else 10 end) + n) % 97) = 1"
+_CHECK = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(s.m, '.'), lambda p: length(ltrim(p, '0')) > 3 or (length(ltrim(p, '0')) = 3 and ltrim(p, '0') > '255'))) = 0",
+    "card": f"length({_D}) between 16 and 19 and {_LUHN}",
+    "phone": f"length({_D}) between 8 and 15",
+    "iban": f"length({_I}) >= 15 and {_MOD97}",
+    "ssn": "not regexp_matches(s.m, '^(000|666|9)') and not regexp_matches(s.m, '-00-|-0000$')",
+}
+
+
+def _spans_sql(kind: str) -> str:
+    m, g = f"regexp_extract_all(t, '{_PLAIN[kind]}')", f"string_split_regex(t, '{_PLAIN[kind]}')"
+    near = f"lower(right(({g})[i], {NEAR}) || ' ' || left(({g})[i + 1], {NEAR}))"
+    at = f"coalesce(list_sum(list_transform(({g})[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(({m})[1:i - 1], lambda x: length(x))), 0)"
+    has = lambda words: " or ".join(f"contains(s.near, '{w}')" for w in words)
+    value = f"{START[kind]} + case when {has(CONTEXT[kind])} then {LIFT} else 0 end" + (f" - case when {has(AGAINST[kind])} then {DROP} else 0 end" if kind in AGAINST else "")
+    value = f"least(greatest({value}, 0), 1)"
+    each = f"list_transform(range(1, len({m})::bigint + 1), lambda i: struct_pack(m := ({m})[i], a := ({at})::bigint, near := {near}))"
+    fine = _CHECK[kind] if kind in BASE else f"{_CHECK[kind]} and {value} >= {ADDED_AT}"
+    return f"list_transform(list_filter({each}, lambda s: {fine}), lambda s: struct_pack(span := '{kind}:' || s.a || ':' || (s.a + length(s.m)), score := printf('%.2f', ({value})::double)))"
+
+
+_LISTS = ", ".join(f"{_spans_sql(k)} as {k}" for k in PATTERNS)
+_NAMED = lambda kinds: "array_to_string(list_transform(" + "list_concat(" * (len(kinds) - 1) + kinds[0] + "".join(f", {k})" for k in kinds[1:]) + ", lambda s: s.span), ',')"
+_EVERY = tuple(PATTERNS)
+OP10_SQL = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents), f as (select doc_id, {_LISTS} from d)
+select doc_id, {", ".join(f"len({k})::bigint as n_{k}" for k in BASE)},
+       sha256({_NAMED(BASE)}) as base_sha256, {_NAMED(_EVERY)} as spans, {_NAMED(_EVERY).replace("s.span", "s.score")} as scores
+from f"""

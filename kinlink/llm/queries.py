@@ -15,7 +15,7 @@ from kinlink.llm.op06_lists import OP6_SQL, op6_url_lists
 from kinlink.llm.op07_topk import OP7_SQL, op7_topk
 from kinlink.llm.op08_copies import op8_near_copies
 from kinlink.llm.op09_mixture import OP9_SQL, op9_mixture
-from kinlink.llm.op10_private import op10_private
+from kinlink.llm.op10_private import OP10_SQL, op10_private
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_private": op10_private,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_url_lists": OP6_SQL, "op7_topk": OP7_SQL, "op9_mixture": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_url_lists": OP6_SQL, "op7_topk": OP7_SQL, "op9_mixture": OP9_SQL, "op10_private": OP10_SQL}

@@ -205,9 +205,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def in_blocks(open_: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs of members of one bucket, of different components, that sketches do not refute; open_: key, rep, component."""
-    sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    each = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = each.groupBy("key").agg(F.max_by("component", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("key", "main", blocks(F.col("all") - F.col("most")).alias("rest"), blocks(F.col("most")).alias("inner"))
     dealt = open_.join(sizes, "key").join(reps.select("rep", "n", "odd", "whole"), "rep")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # members of a bucket's main component have blocks of their own, which meet only the blocks of the others
+    inside, h = F.col("component") == F.col("main"), F.xxhash64("rep")
+    own = F.when(inside, F.col("rest") + F.pmod(h, F.col("inner"))).otherwise(F.pmod(h, F.col("rest"))).cast("int")
+    meets = F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("inner"))
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "odd", "whole")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +13,14 @@ from pyspark.sql import functions as F
 #: Characters that separate words: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of one Arrow batch sent to a Python worker; it bounds memory when single texts are very long.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, records: int = 4000) -> None:
+def bound_batches(spark: SparkSession, records: int = 1000) -> None:
     """Bounds Arrow batches by rows and bytes for this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
@@ -34,19 +36,31 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were written inside; what is still to be read from them must be written before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as a table in the shared folder and reads it back: a cut of the lineage in compact form."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def remainder(column: str, by: int):
     """crc32 of the id as text, modulo by; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % by

@@ -20,14 +20,15 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from kinlink.llm.common import bound_batches, spread, table
 
 SPACE = "▁"
-#: Chunks that one worker keeps.
-KEPT = 350_000
+#: Chunks that a task keeps in each of two generations, and tested pairs of neighbours; workers outlive tasks, so a task drops them at its end.
+KEPT, TESTED = 80_000, 150_000
 
 
 class PrefixTable:
@@ -111,7 +112,7 @@ class PrefixTable:
         """Whether left and right stay as they are when they stand side by side."""
         pair = (left, right)
         if (found := self.fits.get(pair)) is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > TESTED:
                 self.fits.clear()
             found = self.fits[pair] = self.stays(left, right) if self.ordered else self.merged(left + right) == [left, right]
         return found
@@ -140,6 +141,10 @@ class PrefixTable:
             ids.extend((i,) if i is not None else (self.byte[b] for b in piece.encode()))
         return ids
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+        self.fits.clear()
+
     def split(self, text: str) -> list[str]:
         return self.chunks.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
@@ -231,20 +236,29 @@ def prefix_table(model_file: str) -> PrefixTable:
     return PrefixTable(model_file)
 
 
-def encode_documents(docs: DataFrame, model_file: str, with_text: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text; with_text adds ids (array<int>) and decoded."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_text
+def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text; with_ids adds ids (array<int>), with_text decoded."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = prefix_table(model_file)
-        for batch in batches:
-            rows = [coder.document(t or "") for t in batch.column(1).to_pylist()]
-            cols = [batch.column(0).cast(pa.int64()), pa.array([n for n, _, _ in rows], pa.int64()), pa.array([sha(i) for _, i, _ in rows], pa.string()), pa.array([sha(t) for _, _, t in rows], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_text:
-                cols += [pa.array([[int(x) for x in i.split(",")] if i else [] for _, i, _ in rows], pa.list_(pa.int32())), pa.array([t for _, _, t in rows], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        try:
+            for batch in batches:
+                yield coded(coder, batch)
+        finally:
+            coder.forget()
+
+    def coded(coder: PrefixTable, batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [coder.document(t or "") for t in batch.column(1).to_pylist()]
+        cols = [batch.column(0).cast(pa.int64()), pa.array([n for n, _, _ in rows], pa.int64()), pa.array([sha(i) for _, i, _ in rows], pa.string()), pa.array([sha(t) for _, _, t in rows], pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            cols.append(pa.array([np.fromstring(i, np.int32, sep=",") if i else np.empty(0, np.int32) for _, i, _ in rows], pa.list_(pa.int32())))
+            names.append("ids")
+        if with_text:
+            cols.append(pa.array([t for _, _, t in rows], pa.string()))
+            names.append("decoded")
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
     bound_batches(docs.sparkSession)
     return spread(docs, "doc_id", "text").mapInArrow(run, schema)

@@ -50,10 +50,10 @@ def test_caches_that_overflow(monkeypatch):
 def test_table_and_awkward_rows(spark, sf):
     sp = library()
     for docs in (spark.read.parquet(f"{sf}/documents.parquet"), documents(spark, awkward())):
-        rows = m.encode_documents(docs, m.default_model(), with_text=True).collect()
+        rows = m.encode_documents(docs, m.default_model(), with_ids=True, with_text=True).collect()
         want = sorted((str(r["doc_id"]), *facts(sp, r["text"] or "")) for r in docs.collect())
         assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows) == want
-        assert all(len(r["ids"]) == r["n_tokens"] for r in rows)
+        assert all(len(r["ids"]) == r["n_tokens"] and sp.decode(r["ids"]) == r["decoded"] for r in rows)
     assert m.encode_documents(docs.limit(0), m.default_model()).count() == 0
 
 

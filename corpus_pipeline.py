@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm.common import shared_dir, table
+from kinlink.llm.common import scratch, shared_dir, table
 from kinlink.llm.op01_quality import accepted
 from kinlink.llm.op04_pieces import default_model, encode_documents
 from kinlink.llm.op08_copies import one_of_each
@@ -36,7 +36,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and digests of ids and of the decoded text."""
-    return encode_documents(docs, default_model(), with_text=True).drop("decoded")
+    return encode_documents(docs, default_model(), with_ids=True)
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("private", private), ("mixture", mixture), ("pieces", pieces)]
@@ -49,6 +49,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -31,11 +31,12 @@ from kinlink.llm.common import bound_batches, remainder, spread, table, written
 
 ORDER, KEY_BITS = 4, 20
 #: Distinct words that a task holds before it passes them on.
-HELD = 200_000
+HELD = 100_000
 CALIBRATE, MARGIN = 0.999, 0.5
 #: Characters' worth of evidence at most that the score's posterior weighs.
 EVIDENCE = 40
-MARK, END = 2, 3
+#: Characters of texts judged together, and distinct words scored at once.
+GROUP, SLICE = 3_000_000, 20_000
 
 
 def folded(x: np.ndarray) -> np.ndarray:
@@ -190,26 +191,36 @@ class Models:
         return -np.add.reduceat(logs, starts, axis=0), size
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and cross-entropy of each text."""
-        split = [t.lower().split() if t else [] for t in texts]
+        """Language, score and cross-entropy of each text; groups of texts of at most GROUP characters, or one longer text, are taken together."""
         langs, score, cross = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
         live = [k for k, t in enumerate(texts) if self.langs and t and any(map(str.isalpha, t))]
-        if not live:
-            return langs, score, cross
-        codes, distinct = pd.factorize(np.array([w for k in live for w in split[k]], dtype=object))
-        cost, size = self.words(list(distinct))
-        many = np.array([len(split[k]) for k in live])
+        group: list[int] = []
+        held = 0
+        for n, k in enumerate(live):
+            group.append(k)
+            held += len(texts[k])
+            if n + 1 == len(live) or held + len(texts[live[n + 1]]) > GROUP:
+                best, score[group], cross[group] = self.judged([texts[j] for j in group])
+                for j, x in zip(group, best, strict=True):
+                    langs[j] = self.langs[x]
+                group, held = [], 0
+        return langs, score, cross
+
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the best language, score and cross-entropy of texts with words. Equal words are scored once, in slices."""
+        split = [t.lower().split() for t in texts]
+        many = np.array([len(w) for w in split])
+        codes, distinct = pd.factorize(np.array([w for words in split for w in words], dtype=object))
+        del split
+        parts = [self.words(list(distinct[at : at + SLICE])) for at in range(0, len(distinct), SLICE)]
+        cost, size = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
         starts = np.cumsum(many) - many
         total, chars = np.add.reduceat(cost[codes], starts, axis=0), np.add.reduceat(size[codes], starts)
         mean = total / chars[:, None]
         best = mean.argmin(axis=1)
-        low = mean[np.arange(len(live)), best]
-        weight = np.minimum(chars, EVIDENCE)[:, None]
-        post = 1 / np.exp(-(mean - low[:, None]) * weight).sum(axis=1)
-        for j, k in enumerate(live):
-            langs[k] = self.langs[best[j]]
-        score[live], cross[live] = post, low
-        return langs, score, cross
+        low = mean[np.arange(len(texts)), best]
+        post = 1 / np.exp(-(mean - low[:, None]) * np.minimum(chars, EVIDENCE)[:, None]).sum(axis=1)
+        return best, post, low
 
 
 def trained(docs: DataFrame) -> Models:

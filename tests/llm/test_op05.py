@@ -59,3 +59,29 @@ def test_without_learnt_texts(spark):
     assert {r["lang_pred"] for r in m.identify(docs).collect()} == {"und"}
     assert m.identify(docs.limit(0)).count() == 0
     assert isinstance(m.gram_counts(m.word_counts(docs.limit(0))).toPandas(), pd.DataFrame)
+
+
+def test_every_n_gram_has_its_own_entry(spark):
+    rng = np.random.default_rng(1)
+    words = sorted({"".join(map(chr, rng.integers(0x4E00, 0x9FA5, 4))) for _ in range(20_000)})
+    counts = m.gram_counts(spark.createDataFrame([("zh", w, 1) for w in words], "lang string, word string, n long")).toPandas()
+    want = {n: len({f"\x02{w}\x03"[k - n + 1 : k + 1] for w in words for k in range(max(n - 1, 1), 6)}) for n in range(1, m.ORDER + 1)}
+    assert counts.groupby("o").size().to_dict() == want
+
+
+def test_models_too_large_to_send_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = awkward()
+    rows += [(1000 + k, " ".join("".join(map(chr, rng.integers(97 if k % 2 else 0x4E00, 123 if k % 2 else 0x4F00, rng.integers(1, 9)))) for _ in range(60)), ("zh", "fr")[k % 2], "s") for k in range(60)]
+    docs = documents(spark, rows)
+
+    def run():
+        return sorted((tuple(r) for r in m.identify(docs).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2], r[3]))
+
+    want = run()
+    for cells in (600, 6000):  # a few n-grams are sent, or most
+        monkeypatch.setattr(m, "CELLS", cells)
+        got = run()
+        assert [(r[0], r[1], r[2], r[5]) for r in got] == [(r[0], r[1], r[2], r[5]) for r in want]
+        assert np.allclose([r[3] for r in got], [r[3] for r in want])
+        assert np.allclose([np.nan if r[4] is None else r[4] for r in got], [np.nan if r[4] is None else r[4] for r in want], equal_nan=True)

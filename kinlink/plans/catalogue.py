@@ -155,6 +155,8 @@ keyed("keys_v2_acro", "doc", lambda: keys.v2_acronym(C("business_name"), False),
 # blocking -------------------------------------------------------------------------------------------------------
 
 CAP, BY = 25, ("country",)
+#: The reference's cap, first generation, for queries without SQL.
+WHOLE = 400
 _words = f"""
 with e as ({SQL["doc"]}),
 k as (select entity_id, country, unnest(list_distinct({S.ascii_tokens("business_name", 2)})) as key from e),
@@ -169,9 +171,9 @@ def word_keys(spark, sf_dir, kind="doc") -> tuple[DataFrame, DataFrame]:
     return tuple(blocking.long_keys(x, F.array_distinct(text.ascii_tokens("business_name", 2)), *BY) for x in sides(entities(spark, sf_dir, kind)))
 
 
-def doc_pairs(spark, sf_dir) -> DataFrame:
+def doc_pairs(spark, sf_dir, cap: int = CAP) -> DataFrame:
     q, t = word_keys(spark, sf_dir)
-    return blocking.block(q, blocking.pruned(t, CAP, by=BY), BY)
+    return blocking.block(q, blocking.pruned(t, cap, by=BY), BY)
 
 
 @query("key_df_pruned", _rare[:-1] + " select country, key, df from rare")
@@ -239,9 +241,9 @@ def _v2_full(spark, sf_dir):
 # features -------------------------------------------------------------------------------------------------------
 
 
-def pair_texts(spark, sf_dir) -> DataFrame:
+def pair_texts(spark, sf_dir, cap: int = CAP) -> DataFrame:
     q, t = sides(entities(spark, sf_dir, "doc"))
-    return prescreen.attributes(doc_pairs(spark, sf_dir), q, t, "business_name", "business_address", "country")
+    return prescreen.attributes(doc_pairs(spark, sf_dir, cap), q, t, "business_name", "business_address", "country")
 
 
 _both = _pairs + ", b as (select s1_id, cand_id, coalesce(x.business_name, '') as n1, coalesce(y.business_name, '') as n2, coalesce(x.business_address, '') as a1, coalesce(y.business_address, '') as a2, x.country as c1, y.country as c2 from p join e x on x.entity_id = s1_id join e y on y.entity_id = cand_id)"
@@ -300,7 +302,7 @@ def _jw(spark, sf_dir):
 @query("feat_kernels")
 def _kernels(spark, sf_dir):
     """All four kernels on names; tests hold them against other definitions."""
-    df = pair_texts(spark, sf_dir).withColumn("s", similarities(*N))
+    df = pair_texts(spark, sf_dir, WHOLE).withColumn("s", similarities(*N))
     return df.select("s1_id", "cand_id", *[F.round(f"s.{k}", 6).alias(k) for k in KINDS])
 
 
@@ -349,9 +351,9 @@ _sc = f"(({_id1} * 37 + {_id2} * 101) % 1000) / 1000.0"
 _scored = _pairs + f", s as (select s1_id, cand_id, n_keys, ({_sc})::double as score from p)"
 
 
-def pseudo(spark, sf_dir) -> DataFrame:
+def pseudo(spark, sf_dir, cap: int = CAP) -> DataFrame:
     a, b = (F.substring(c, 4, 18).cast("long") for c in ("s1_id", "cand_id"))
-    return doc_pairs(spark, sf_dir).withColumn("score", ((a * 37 + b * 101) % 1000) / F.lit(1000.0))
+    return doc_pairs(spark, sf_dir, cap).withColumn("score", ((a * 37 + b * 101) % 1000) / F.lit(1000.0))
 
 
 @query("topk_pairs", _scored + " select s1_id, cand_id, score, row_number() over w as rank from s window w as (partition by s1_id order by score desc, cand_id) qualify row_number() over w <= 10")
@@ -455,25 +457,25 @@ def _needed(spark, sf_dir):
 @query("pair_selection")
 def _selection(spark, sf_dir):
     """A stated number of positives and negatives by hash: the operator is a sample."""
-    return pair_features.selected_pairs(doc_truth(spark, sf_dir), doc_pairs(spark, sf_dir), 20, 60)
+    return pair_features.selected_pairs(doc_truth(spark, sf_dir), doc_pairs(spark, sf_dir, WHOLE), 20, 60)
 
 
 @query("two_stage_tune")
 def _two_stage(spark, sf_dir):
     """The threshold, the gate (null if it does not help) and the metric of the two-stage search; tests hold it against the grid."""
     s1, _ = sides(entities(spark, sf_dir, "doc"))
-    theta, gate, f05 = metrics.two_stage(s1, doc_truth(spark, sf_dir), pseudo(spark, sf_dir))
+    theta, gate, f05 = metrics.two_stage(s1, doc_truth(spark, sf_dir), pseudo(spark, sf_dir, WHOLE))
     return spark.createDataFrame([(theta, gate, round(f05, 6))], "theta double, gate double, f05 double")
 
 
 @query("neg_sample")
 def _negatives(spark, sf_dir):
-    return pair_features.training_pairs(pair_features.labelled(doc_pairs(spark, sf_dir), doc_truth(spark, sf_dir)))
+    return pair_features.training_pairs(pair_features.labelled(doc_pairs(spark, sf_dir, WHOLE), doc_truth(spark, sf_dir)))
 
 
 @query("grouped_split")
 def _split(spark, sf_dir):
-    return pair_features.grouped_split(doc_pairs(spark, sf_dir))
+    return pair_features.grouped_split(doc_pairs(spark, sf_dir, WHOLE))
 
 
 # validator ------------------------------------------------------------------------------------------------------

@@ -202,3 +202,15 @@ def test_validate_files(spark, tmp_path):
     for name in ("comma.tsv", "latin.tsv", "none.tsv", "absent.tsv"):
         assert validate.validate_files(spark, at(name), None, at("s1.tsv"))[0]
     assert validate.validate_files(spark, at("m.tsv"), None, at("absent.tsv"))[0]
+
+
+def test_queries_without_sql_keep_the_keys_of_up_to_400_targets(spark, tmp_path):
+    from kinlink.plans.catalogue import QUERIES
+
+    rows = [(3, "acme first\nroad", "en")] + [(3 * k + 1, f"acme t{k}\nroad", "en") for k in range(1, 401)]
+    rows += [(6, "many first\nroad", "en")] + [(3 * k + 2, f"many u{k}\nroad", "en") for k in range(1, 402)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {("S1-3", f"S2-{3 * k + 1}") for k in range(1, 401)}
+    for name in ("feat_kernels", "grouped_split"):
+        assert {(r["s1_id"], r["cand_id"]) for r in QUERIES[name](spark, str(tmp_path)).collect()} == want
+    assert QUERIES["neg_sample"](spark, str(tmp_path)).count() > 0

@@ -315,9 +315,9 @@ def _dot(spark, sf_dir):
 
 
 def cust_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Both normalised sides, kept candidates and their raw form, of the fixture with numbers."""
+    """Both normalised sides, all candidates and their raw form, of the fixture with numbers."""
     one, two = (normalised(x) for x in sides(entities(spark, sf_dir, "cust")))
-    pairs = blocking.capped(candidates(one, two), 100)
+    pairs = candidates(one, two)
     return one, two, pairs, prescreen.attributes(pairs, one, two, *LINK_COLUMNS)
 
 

@@ -214,3 +214,21 @@ def test_queries_without_sql_keep_the_keys_of_up_to_400_targets(spark, tmp_path)
     for name in ("feat_kernels", "grouped_split"):
         assert {(r["s1_id"], r["cand_id"]) for r in QUERIES[name](spark, str(tmp_path)).collect()} == want
     assert QUERIES["neg_sample"](spark, str(tmp_path)).count() > 0
+
+
+def test_features_and_rankings_see_every_candidate(spark, tmp_path):
+    from kinlink.plans.catalogue import QUERIES
+
+    tables = {
+        "nation": ([(1, "FRANCE")], "n_nationkey int, n_name string"),
+        "supplier": ([(7, "Supplier 7", 1)], "s_suppkey int, s_name string, s_nationkey int"),
+        # the last customer has the supplier's very name and address but comes last by id
+        "customer": ([(1000 + k, f"Supplier x{k}", 1) for k in range(150)] + [(9907, "Supplier 7", 1)], "c_custkey int, c_name string, c_nationkey int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    at = str(tmp_path)
+    for name in ("features_v1", "features_v2"):
+        assert QUERIES[name](spark, at).count() == 151
+    assert QUERIES["topk_v1"](spark, at).count() == 30 and QUERIES["topk_v6"](spark, at).count() == 28
+    assert QUERIES["topk_v1"](spark, at).filter("rank = 1").first()["cand_id"] == "S3-9907"

@@ -13,7 +13,7 @@ classes that shares a bucket is thus compared or already in one component; no bu
 
 Texts with fewer than WORDS words are one shingle. Null or empty texts, or such without words, have empty sets
 and are linked with nothing. Rows with a null doc_id get a null component and are kept. Rows that share a doc_id
-are one node. Repeated rows: one result each. Empty tables: empty results. Extra columns are ignored.
+are one node, whatever their texts. Repeated rows: one result each. Empty tables: empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -250,13 +250,17 @@ def in_blocks(open_: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """node and component of every class that is linked with another; reps: rep, n, bands, odd, whole."""
+    """node and component of every class that is linked with another; reps: rep, n, bands, odd, whole.
+
+    Classes with the same smallest doc_id have one rep, and so one node with several sets; any of them makes a link.
+    """
     spark = docs.sparkSession
     posted = reps.select(F.explode("bands").alias("key"), "rep")
     full = posted.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     members = written(posted.join(full, "key").select("key", "rep", F.col("rep").alias("component")), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(sets_of(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")).dropDuplicates(["id"]), "sets")
+    sets = sets_of(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")).withColumn("digest", F.xxhash64("hashes"))
+    sets = written(sets.dropDuplicates(["id", "digest"]).drop("digest"), "sets")
     bound_batches(spark, 256)
     tested = links = found = None
     for turn in range(STARS + 1):
@@ -299,9 +303,14 @@ def cluster(docs: DataFrame) -> DataFrame:
     named = each.filter("n > 0 and doc_id is not null")
     reps = named.groupBy("cls").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bands", "odd", "whole")])
     reps = written(reps, "classes")
-    found = linked(docs, reps.drop("cls").dropDuplicates(["rep"]))
+    found = linked(docs, reps.drop("cls"))
     # one doc_id with several texts is one node: its classes are tied through it
-    of = named.select("doc_id", "cls").join(reps.select("cls", "rep"), "cls").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    each_of = named.select("doc_id", "cls").join(reps.select("cls", "rep"), "cls").select("doc_id", "rep")
+    of = written(each_of.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")), "reps")
+    several = of.filter("rep < last").select("doc_id", F.col("rep").alias("b"))
+    if several.limit(1).count():
+        ties = each_of.join(several, "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b")
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(ties))
     of = of.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     out = each.select("doc_id", "n").join(of, "doc_id", "left")
     component = F.coalesce("c", "doc_id")

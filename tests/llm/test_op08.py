@@ -136,3 +136,11 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(x, x) == find(x) for x in parent)
+
+
+def test_texts_of_one_id_are_all_searched_and_tied(spark):
+    a, b, c, d = (" ".join(f"{k}{w}" for w in range(100)) for k in "abcd")
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, b + " end")]  # classes tied through a doc_id that is not their smallest
+    rows += [(20, c), (20, d), (21, c + " end"), (22, d + " end")]  # and through one that is
+    got = {r["doc_id"]: r["component_id"] for r in m.cluster(documents(spark, [(k, t, "en", "s") for k, t in rows])).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 9: 1, 20: 20, 21: 20, 22: 20}

@@ -1,12 +1,14 @@
-"""Vectors packed in blocks: a block is one row whose matrix a task searches for a block of queries.
+"""Vectors packed in blocks: a block is one row that holds its ids, its matrix and the index built over them.
 
-Blocks are cut from the partitions as they are read, so an index is built without a shuffle. Every block of
-queries meets every block of the index, as the searches here have a stated query set against all rows; only the
-best few of each meeting go on. Queries are copied to the index's blocks by an equi-join on the block's number.
+Blocks are cut from the partitions as they are read, so an index is built without a shuffle and written once. Every
+block of queries meets every block of the index, as the searches here have a stated query set against all rows; only
+the best few of each meeting go on. Queries are copied to the index's blocks by an equi-join on length and number.
+Vectors of different lengths have no common measure; each length is packed and searched among its own.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,76 +16,110 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import written
+from kinlink.llm.common import arrow, written
 
-#: Rows of an index block, of a query block.
-INDEX_ROWS, QUERY_ROWS = 8192, 1024
-PACKED = "part int, n int, ids binary, matrix binary"
+#: Rows of an index block, of a query block; bytes of a batch from which a block is cut.
+INDEX_ROWS, QUERY_ROWS, BLOCK_BYTES = 8192, 1024, 32 << 20
+PACKED = "part int, d int, n int, ids binary, matrix binary, built binary"
+
+#: The k best of a block for several queries: positions of the queries, vec_ids, scores.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+Build = Callable[[np.ndarray], list[np.ndarray]]
 
 
 def usable(embeddings: DataFrame, nonzero: bool) -> DataFrame:
-    """vec_id and v (array of double) of the vectors that take part: of the most frequent length, without null or non-finite components, and not zero if so asked."""
+    """vec_id and v (array of double) of the vectors that take part: not empty, without null or non-finite components, and not zero if so asked."""
     v = F.col("embedding").cast("array<double>")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and size(v) > 0")
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     if nonzero:
         fine = fine & F.exists("v", lambda x: x != 0)
-    return rows.filter((F.size("v") == (common["d"] if common else 0)) & fine)
+    return rows.filter(fine)
 
 
-def packed(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most size rows, numbered (block) from 0."""
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+def stored(arrays: list[np.ndarray]) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, *arrays)
+    return out.getvalue()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, b in enumerate(x for x in batches if x.num_rows):
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()]), pa.array([m.tobytes()])], names=["part", "n", "ids", "matrix"])
 
-    return written(rows.select("vec_id", "v").mapInArrow(run, PACKED).withColumn("uid", F.monotonically_increasing_id()), "blocks")
+def loaded(data: bytes) -> list[np.ndarray]:
+    with np.load(io.BytesIO(data), allow_pickle=False) as z:
+        return [z[k] for k in z.files]
 
 
-def search(rows: DataFrame, every: int, k: int, kind: str, searcher: Callable[[np.ndarray, np.ndarray], Callable]) -> DataFrame:
+def packed(rows: DataFrame, size: int, build: Build | None = None) -> DataFrame:
+    """Blocks of at most size rows of one length d, with a uid; build makes the arrays of a block's index from its matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = 0
+        for b in batches:
+            ids, sizes = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(b.column(1).offsets.to_numpy())
+            flat, starts = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(sizes)])
+            for d in np.unique(sizes):
+                own = np.flatnonzero(sizes == d)
+                m = flat[starts[own][:, None] + np.arange(d)] if len(own) < len(ids) else flat.reshape(len(ids), d)
+                index = stored(build(m)) if build else b""
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([d], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([ids[own].tobytes()]), pa.array([np.ascontiguousarray(m).tobytes()]), pa.array([index])],
+                    names=["part", "d", "n", "ids", "matrix", "built"],
+                )
+                k += 1
+
+    with arrow(rows.sparkSession, size, BLOCK_BYTES):
+        return written(rows.select("vec_id", "v").mapInArrow(run, PACKED).withColumn("uid", F.monotonically_increasing_id()), "blocks")
+
+
+def search(rows: DataFrame, every: int, k: int, kind: str, build: Build | None, opened: Callable) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row whose vec_id is divisible by every.
 
-    searcher(ids, matrix) builds the index of a block and returns find(query_id, vector) -> (vec_ids, scores) of its k
-    best, the query's own vec_id left out. kind: SQL type of the score.
+    opened(ids, matrix, arrays of build) opens a block and returns find(query_ids, matrix, least) -> Found, the k best
+    for each query without its own vec_id; least has each query's k-th best score so far in this task, or the least
+    value there is, and worse rows may be left out. kind: SQL type of the score, long or double. A vec_id that repeats
+    is asked once, with the least of its vectors, shorter ones first. The result is written.
     """
     spark = rows.sparkSession
-    index = packed(rows, INDEX_ROWS)
-    ask = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    blocks = index.select("uid").withColumn("block", F.row_number().over(Window.orderBy("uid")) - 1)  # one narrow row for each INDEX_ROWS rows
-    blocks = written(blocks, "numbers")
-    many = blocks.count()
-    asked = packed(ask.repartition(max(1, -(-many * INDEX_ROWS // (every * QUERY_ROWS))), "vec_id"), QUERY_ROWS)
-    copies = asked.select(F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"), F.explode(F.sequence(F.lit(0), F.lit(max(many, 1) - 1))).alias("block"))
-    meetings = index.join(blocks, "uid").join(copies, "block").select("block", "n", "ids", "matrix", "qn", "qids", "qmatrix")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    integer = kind == "long"
+    index = packed(rows, INDEX_ROWS, build)
+    number = F.row_number().over(Window.partitionBy("d").orderBy("uid")) - 1  # one narrow row for each INDEX_ROWS rows
+    blocks = written(index.select("uid", "d").withColumn("block", number), "numbers")
+    many = blocks.groupBy("d").agg(F.count("*").cast("int").alias("many"))
+    ask = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct(F.size("v").alias("d"), "v")).alias("s")).select("vec_id", "s.v")
+    parts = max(1, -(-blocks.count() * INDEX_ROWS // (every * QUERY_ROWS)))
+    asked = packed(ask.repartition(parts, "vec_id"), QUERY_ROWS)
+    copies = asked.join(many, "d").select("d", F.col("uid").alias("quid"), F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("block"))
+    meetings = index.join(blocks.drop("d"), "uid").join(copies, ["d", "block"]).select("uid", "d", "ids", "matrix", "built", "quid", "qids", "qmatrix")
+    dtype = np.dtype(np.int64 if kind == "long" else np.float64)
+    worst = np.iinfo(dtype).min if kind == "long" else -np.inf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, find = None, None
+        last = find = None
+        best: dict[int, np.ndarray] = {}  # the k best scores of each query of a block, over the blocks that this task has seen
         for b in batches:
             for r in b.to_pylist():
-                if r["block"] != last:
-                    last = r["block"]
-                    ids = np.frombuffer(r["ids"], np.int64)
-                    find = searcher(ids, np.frombuffer(r["matrix"], np.float64).reshape(r["n"], -1))
-                asks, vectors = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["qmatrix"], np.float64).reshape(r["qn"], -1)
-                out = [(q, *find(q, v)) for q, v in zip(asks, vectors, strict=True)]
-                q = np.concatenate([np.full(len(i), q) for q, i, _ in out])
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate([i for _, i, _ in out]), pa.int64()), pa.array(np.concatenate([s for _, _, s in out]), pa.int64() if integer else pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = meetings.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def first(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best, ties to the smaller id."""
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+                if r["uid"] != last:
+                    last, ids = r["uid"], np.frombuffer(r["ids"], np.int64)
+                    find = opened(ids, np.frombuffer(r["matrix"], np.float64).reshape(-1, r["d"]), loaded(r["built"]) if r["built"] else [])
+                asks, vectors = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["qmatrix"], np.float64).reshape(-1, r["d"])
+                top = best.setdefault(r["quid"], np.full((len(asks), k), worst, dtype))
+                at, found, scores = find(asks, vectors, top.min(axis=1))
+                place = np.concatenate([np.arange(n) for n in np.bincount(at, minlength=len(asks))]) if len(at) else at
+                new = np.full((len(asks), k), worst, dtype)
+                new[at, place] = scores
+                both = np.concatenate([top, new], axis=1)
+                both.sort(axis=1)
+                best[r["quid"]] = both[:, -k:]
+                yield pa.RecordBatch.from_arrays([pa.array(asks[at], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.from_numpy_dtype(dtype))], names=["query_id", "vec_id", "score"])
+
+    with arrow(spark, 1, BLOCK_BYTES):
+        found = meetings.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return written(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found")
+
+
+def first(at: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> Found:
+    """The k best of each query (at), best first, ties to the smaller id; in order of the queries."""
+    order = np.lexsort((ids, -scores, at))
+    at = at[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    order, at = order[place < k], at[place < k]
+    return at, ids[order], scores[order]

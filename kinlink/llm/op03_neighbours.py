@@ -1,15 +1,17 @@
 """Approximate nearest neighbours by a permutation index.
 
-Some vectors serve as pivots. A vector is represented by its nearest pivots in order; a pivot's inverted file holds
-the vectors that name it, with the weight PREFIX minus position. The footrule distance of two representations, with
-absent pivots at position PREFIX, is a constant minus twice the sum of the smaller weights over shared pivots, so
-one pass over the inverted files of the query's pivots ranks a block. The best SHARE of it, ties included, is
+Some vectors serve as pivots. A vector is represented by its PREFIX nearest pivots in order; a pivot's inverted file
+holds the vectors that name it, with the weight PREFIX minus position. The files of a block of vectors are written
+once, with the block. The footrule distance of two representations, with absent pivots at position PREFIX, is a
+constant minus twice the sum of the smaller weights over shared pivots, so one pass over the files of a query's own
+pivots ranks the vectors posted there; the other files are not read. The best SHARE of a block, ties included, is
 reranked by the cosine of the original vectors in double precision.
 
-Pivots are the PIVOTS rows whose hashed ids come first, a bounded sample; every row is indexed. Null vectors, zero
-vectors, and such with null or non-finite components or of another than the usual length take no part, nor do rows
-with a null vec_id. Rows that repeat a vec_id are candidates of their own; a query is asked once. Ties go to the
-smaller vec_id. Empty tables give empty results. Extra columns are ignored.
+Pivots are the first PIVOTS distinct vectors among SAMPLE rows whose hashed ids come first, a bounded sample; every row
+is indexed. Null vectors, empty ones, zero vectors, and such with null or non-finite components take no part, nor do
+rows with a null vec_id. Vectors meet those of their own length, and each length has its own pivots. Rows that repeat
+a vec_id are candidates of their own; a query is asked once, with the least of its vectors. Ties go to the smaller
+vec_id. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,18 +20,27 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.llm.blocks import first, search, usable
+from kinlink.llm.blocks import Found, first, search, usable
 from kinlink.llm.common import table
 
-PIVOTS, PREFIX = 64, 48
+PIVOTS, PREFIX, SAMPLE = 512, 64, 2048
 #: Share of a block that is reranked, and the least number.
-SHARE, LEAST = 0.25, 200
+SHARE, LEAST = 0.05, 200
+#: The most frequent lengths get pivots from the sample; a rarer one has one pivot a block, so that all its rows are reranked.
+LENGTHS = 16
 K, EVERY = 5, 50
 
 
-def pivots(rows: DataFrame) -> np.ndarray:
-    picked = rows.dropDuplicates(["v"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()  # at most PIVOTS rows
-    return unit(np.array([r["v"] for r in picked], dtype=np.float64)) if picked else np.zeros((0, 0))
+def pivots(rows: DataFrame) -> dict[int, np.ndarray]:
+    """By length: at most PIVOTS distinct unit vectors, for at most LENGTHS lengths."""
+    sized = rows.select("vec_id", F.size("v").alias("d"))
+    common = [r["d"] for r in sized.groupBy("d").count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect()]
+    out = {}
+    for d in common:
+        picked = rows.filter(F.size("v") == d).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()
+        seen = list(dict.fromkeys(tuple(r["v"]) for r in picked))[:PIVOTS]
+        out[d] = unit(np.array(seen, dtype=np.float64))
+    return out
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -40,46 +51,63 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def order(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The PREFIX nearest pivots of each row, nearest first, ties to the earlier pivot."""
+    many = min(PREFIX, len(centres))
+    out = np.empty((len(m), many), np.int32)
+    for a in range(0, len(m), 1024):
+        far = -(m[a : a + 1024] @ centres.T)
+        if many < len(centres):
+            near = np.sort(np.argpartition(far, many - 1, axis=1)[:, :many], axis=1)
+            turn = np.argsort(np.take_along_axis(far, near, axis=1), axis=1, kind="stable")
+            out[a : a + 1024] = np.take_along_axis(near, turn, axis=1)
+        else:
+            out[a : a + 1024] = np.argsort(far, axis=1, kind="stable")
+    return out
+
+
+def files(matrix: np.ndarray, centres: np.ndarray) -> list[np.ndarray]:
+    """The inverted files of a block: where each pivot's starts, the rows posted, their weights, in order of pivot and row."""
+    named = order(unit(matrix), centres)
+    n, many = named.shape
+    weights = np.broadcast_to((many - np.arange(many)).astype(np.int16), named.shape).ravel()
+    turn = np.argsort(named.ravel(), kind="stable")
+    starts = np.searchsorted(named.ravel()[turn], np.arange(len(centres) + 1))
+    return [starts, (turn // many).astype(np.int32), weights[turn]]
+
+
 class PermutationIndex:
-    """One block: inverted files by pivot."""
+    """A block opened for queries."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, centres: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, posted: list[np.ndarray], centres: np.ndarray, k: int):
         self.ids, self.unit, self.centres, self.k = ids, unit(matrix), centres, k
-        self.prefix = min(PREFIX, len(centres))
-        weights = self.weights(self.unit)
-        self.files = []
-        for p in range(len(centres)):
-            rows = np.flatnonzero(weights[:, p])
-            self.files.append((rows, weights[rows, p]))
-
-    def weights(self, m: np.ndarray) -> np.ndarray:
-        """PREFIX minus the position of each pivot in each row's order, 0 beyond the prefix."""
-        order = np.argsort(-(m @ self.centres.T), axis=1, kind="stable")[:, : self.prefix]
-        out = np.zeros((len(m), len(self.centres)), np.int32)
-        np.put_along_axis(out, order, np.broadcast_to(self.prefix - np.arange(self.prefix, dtype=np.int32), order.shape), axis=1)
-        return out
-
-    def find(self, query_id: int, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        q = unit(vector[None])
-        shared = np.zeros(len(self.ids), np.int32)
-        for p, w in enumerate(self.weights(q)[0]):
-            if w:
-                rows, weights = self.files[p]
-                shared[rows] += np.minimum(weights, w)
-        shared[self.ids == query_id] = -1
-        many = max(LEAST, int(SHARE * len(shared)))
-        cut = np.partition(shared, -many)[-many] if many < len(shared) else 0
-        rows = np.flatnonzero(shared >= max(cut, 0))
-        near = self.unit[rows] @ q[0]
-        if len(near) > self.k:  # the product's rounding depends on a row's place, so the best are measured again one by one
-            rows = rows[near >= np.partition(near, -self.k)[-self.k] - 1e-9]
-        return first(self.ids[rows], (self.unit[rows] * q).sum(axis=1), self.k)
+        self.starts, self.rows, self.weights = posted
+
+    def find(self, query_ids: np.ndarray, vectors: np.ndarray, least: np.ndarray) -> Found:
+        q, out = unit(vectors), []
+        many = max(LEAST, int(SHARE * len(self.ids)))
+        for at, named in enumerate(order(q, self.centres)):
+            shared = np.zeros(len(self.ids), np.int32)
+            for place, p in enumerate(named):
+                a, b = self.starts[p], self.starts[p + 1]
+                shared[self.rows[a:b]] += np.minimum(self.weights[a:b], len(named) - place)
+            shared[self.ids == query_ids[at]] = -1
+            cut = np.partition(shared, -many)[-many] if many < len(shared) else 0
+            rows = np.flatnonzero(shared >= max(cut, 0))
+            near = self.unit[rows] @ q[at]
+            bar = least[at]
+            if len(near) > self.k:
+                bar = max(bar, np.partition(near, -self.k)[-self.k])
+            rows = rows[near >= bar - 1e-9]  # the product's rounding depends on a row's place, so the best are measured again one by one
+            out.append(first(np.full(len(rows), at), self.ids[rows], (self.unit[rows] * q[at]).sum(axis=1), self.k))
+        return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
 def neighbours(embeddings: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     rows = usable(embeddings, nonzero=True)
     centres = pivots(rows)
-    return search(rows, every, k, "double", lambda ids, m: PermutationIndex(ids, m, centres, k).find)
+    own = lambda m: centres[m.shape[1]] if m.shape[1] in centres else unit(m[:1])
+    return search(rows, every, k, "double", lambda m: files(m, own(m)), lambda ids, m, posted: PermutationIndex(ids, m, posted, own(m), k).find)
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """op3 and op7 against brute force, ties, odd vectors and empty tables."""
 
 import numpy as np
+import pytest
 
+from kinlink.llm import blocks
 from kinlink.llm import op03_neighbours as ann
 from kinlink.llm import op07_topk as ip
 
@@ -31,18 +33,65 @@ def test_topk_is_exact(spark):
         assert got[q] == brute(v, lambda a, b: int(a @ b), q)
 
 
-def test_index_stops_early_and_stays_exact():
+def exact(ids, v, q, k=5):
+    score = [sum(int(a) * int(b) for a, b in zip(row, v[q], strict=True)) for row in v.tolist()] if np.abs(v).max() > 10**6 else (v @ v[q]).tolist()
+    return sorted((-s, int(i)) for s, i in zip(score, ids, strict=True) if i != ids[q])[:k]
+
+
+def found(index, ids, x, queries, least=None):
+    at, i, s = index.find(ids[queries], x[queries], np.full(len(queries), np.iinfo(np.int64).min) if least is None else least)
+    return [[(-int(b), int(a)) for a, b in zip(i[at == n], s[at == n], strict=True)] for n in range(len(queries))]
+
+
+@pytest.mark.parametrize("scale", [0.2, 4.0, 3e3, 1e6, 3e6])
+def test_index_stops_early_and_stays_exact(scale):
+    """Also where sums pass the range of float32 and of float64; 3e6 comes near 64 bits."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(4000, 32)) * 0.2
+    x = rng.normal(size=(4000, 32))
     x[100:900] = x[100]
+    x[:, 5], x[:, 6] = 0.25, np.round(x[:, 6])  # a dimension with one value, one with few
+    x = x / np.abs(x).max() * scale
     ids = rng.permutation(4000).astype(np.int64)
-    index = ip.ImpactIndex(ids, x, 5)
-    v = np.floor(256 * x).astype(np.int64)
-    for k in [0, 1, 2, 100, 500, 3999]:
-        i, s = index.find(ids[k], x[k])
-        score = v @ v[k]
-        order = [j for j in np.lexsort((ids, -score)) if j != k][:5]
-        assert i.tolist() == ids[order].tolist() and s.tolist() == score[order].tolist()
+    index = ip.ImpactIndex(ids, x, ip.segments(x), 5)
+    v, queries = ip.integers(x), np.array([0, 1, 2, 100, 500, 3999])
+    want = [exact(ids, v, q) for q in queries]
+    assert found(index, ids, x, queries) == want
+    # with the k-th best score known, worse rows may be left out but none that reaches it
+    known = np.array([-w[2][0] for w in want])
+    assert [[p for p in f if -p[0] >= b] for f, b in zip(found(index, ids, x, queries, known), known, strict=True)] == [[p for p in w if -p[0] >= b] for w, b in zip(want, known, strict=True)]
+
+
+def test_most_rows_are_never_rescored(monkeypatch):
+    x = np.random.default_rng(1).normal(size=(8000, 64)) / 8
+    index, seen = ip.ImpactIndex(np.arange(8000), x, ip.segments(x), 5), []
+    whole = ip.ImpactIndex.rescored
+    monkeypatch.setattr(ip.ImpactIndex, "rescored", lambda self, q, w, may: seen.append((len(q), int(may.sum()))) or whole(self, q, w, may))
+    index.find(np.arange(50), x[:50], np.full(50, np.iinfo(np.int64).min))
+    assert sum(n for n, _ in seen) == 50 and seen[0][0] > 40 and sum(r for _, r in seen) <= 0.1 * 8000 * 50
+
+
+def test_scores_beyond_64_bits_are_refused():
+    for x in (np.full((9, 4), 1e8), np.full((9, 4), 1e300)):
+        with pytest.raises(OverflowError):
+            ip.ImpactIndex(np.arange(9), x, ip.segments(x), 5).find(np.arange(1), x[:1], np.zeros(1, np.int64))
+
+
+def test_lengths_are_searched_among_their_own(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "INDEX_ROWS", 16)
+    monkeypatch.setattr(blocks, "QUERY_ROWS", 2)
+    rng = np.random.default_rng(5)
+    v = {i: rng.normal(size=(3, 4, 4)[i % 3]) for i in range(400)}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "vec_id long, embedding array<double>").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got, near = rows(ip.top(df)), rows(ann.neighbours(df))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    w = {i: np.floor(256 * x).astype(np.int64) for i, x in v.items()}
+    assert set(got) == set(near) == set(range(0, 400, 50))
+    for q in got:
+        same = {i: x for i, x in w.items() if len(x) == len(w[q])}
+        assert got[q] == brute(same, lambda a, b: int(a @ b), q)
+        own = {i: v[i] for i in same}
+        assert [i for i, _ in near[q]] == [i for i, _ in brute(own, lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b))), q)]
 
 
 def test_neighbours_recall_and_scores(spark):
@@ -72,7 +121,7 @@ def test_odd_vectors_and_ties(spark):
     data = {r["vec_id"]: r["embedding"] for r in odd(spark).collect() if r["vec_id"] is not None and r["vec_id"] < 120}
     zero = {i: np.floor(256 * np.array(x)).astype(np.int64) for i, x in data.items()}
     got = rows(ip.top(odd(spark)))
-    assert set(got) == {0, 50, 100, 250}  # the zero vector takes part here
+    assert set(got) == {0, 50, 100, 250, 450} - {450}  # the zero vector takes part here; the only one of length 2 meets none
     for q in (0, 100):  # the repeated row 50 is a candidate three times
         want = sorted([(-int(zero[q] @ zero[i]), i) for i in list(zero) + [50, 50] if i != q] + [(0, 250)])[:5]
         assert got[q] == [(i, -s) for s, i in want]

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinlink.functions import kernels
 from kinlink.functions import tables as T
-from kinlink.functions.kernels import accent_fold, nfc, romanised
+from kinlink.functions.kernels import accent_fold, mapped, nfc
 
 W = r"\p{L}\p{N}_"
 #: What Python's \s spans.
@@ -40,8 +41,9 @@ def rewritten(c: Column, words: dict[str, str]) -> Column:
 
 def has_legal(c: str | Column, dotted: bool = True) -> Column:
     """Whether a raw name holds a legal form as a whole word."""
-    forms = "|".join(T.LEGAL_FORMS) + (f"|{T.LEGAL_FORM_DOTTED}" if dotted else "")
-    return filled(c).rlike(f"(?i)(?<![{W}])(?:{forms})(?![{W}])")
+    low = F.lower(filled(c))
+    found = F.arrays_overlap(F.regexp_extract_all(low, F.lit(f"[{W}]+"), F.lit(0)), F.array(*map(F.lit, T.LEGAL_FORMS)))
+    return found | (low.contains("sp") & low.rlike(f"(?<![{W}])(?:{T.LEGAL_FORM_DOTTED})(?![{W}])")) if dotted else found
 
 
 def loose_hyphens(c: Column) -> Column:
@@ -87,32 +89,23 @@ def address_columnwise(c: str | Column) -> Column:
     return squeezed(loose_hyphens(x))
 
 
-def cleaned(folded: Column) -> Column:
-    """Of a folded text only ASCII letters, digits, hyphen and apostrophe, in lower case."""
-    return F.lower(squeezed(F.regexp_replace(folded, r"[^a-zA-Z0-9\s\-']", " ")))
-
-
 def name_plain(c: str | Column) -> Column:
     """Second generation: folded, cleaned, abbreviations in full."""
-    return squeezed(rewritten(cleaned(accent_fold(filled(c, nan=True))), T.NAME_WORDS))
+    return mapped(kernels.plain_name, c)
 
 
 def name_romanised(c: str | Column) -> Column:
-    return squeezed(rewritten(cleaned(romanised(filled(c, nan=True))), T.NAME_WORDS))
+    return mapped(kernels.roman_name, c)
 
 
 def name_second(c: str | Column) -> Column:
     """The plain form, or the romanised one where nothing plain is left."""
-    plain = name_plain(c)
-    return F.when(plain != "", plain).otherwise(name_romanised(c))
+    return mapped(kernels.second_name, c)
 
 
 def address_second(c: str | Column, country: str | Column) -> Column:
     """Second generation; `st` is a saint in France and a street elsewhere."""
-    x = cleaned(romanised(filled(c, nan=True)))
-    french = F.lower(filled(country)).contains("france")
-    x = F.when(french, rewritten(x, T.ADDRESS_WORDS_SECOND | {"st": "saint"})).otherwise(rewritten(x, T.ADDRESS_WORDS_SECOND | {"st": "street"}))
-    return squeezed(house_numbers(x))
+    return mapped(kernels.second_address, c, country)
 
 
 def numbers(c: str | Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.functions import features as f
-from kinlink.functions.kernels import similarities
-from kinlink.operators.prescreen import cut
+from kinlink.functions.kernels import compared
+from kinlink.operators.prescreen import cuts
 
 FIRST = (
     "name_tj", "name_lev", "name_c3j", "name_c4j", "name_tss", "name_aov", "addr_tj", "addr_c3j", "addr_nov", "addr_rov", "addr_lev",
@@ -23,14 +23,13 @@ KEEP = ("s1_id", "cand_id")
 
 def first(df: DataFrame) -> DataFrame:
     """Of pairs with norm_name, norm_addr, has_legal and country of both sides; emb_name and emb_addr count where present."""
-    df = df.withColumn("_n", similarities(cut("norm_name_1", 150), cut("norm_name_2", 150), "ratio", "sort_ratio"))
-    df = df.withColumn("_a", similarities(cut("norm_addr_1", 100), cut("norm_addr_2", 100), "ratio"))
+    df = df.withColumn("_k", compared(n=(*cuts("norm_name", 150), "ratio", "sort_ratio"), a=(*cuts("norm_addr", 100), "ratio")))
     n, a = ("norm_name_1", "norm_name_2"), ("norm_addr_1", "norm_addr_2")
     emb = {k: f.dot(f"emb_{k}_1", f"emb_{k}_2") if f"emb_{k}_1" in df.columns else F.lit(0.0) for k in ("name", "addr")}
     cols = {
-        "name_tj": f.token_jaccard(*n), "name_lev": F.col("_n.ratio"), "name_c3j": f.ngram_jaccard(*n, 3), "name_c4j": f.ngram_jaccard(*n, 4),
-        "name_tss": F.col("_n.sort_ratio"), "name_aov": f.prefix_overlap(*n), "addr_tj": f.token_jaccard(*a), "addr_c3j": f.ngram_jaccard(*a, 3),
-        "addr_nov": f.number_overlap(*a), "addr_rov": f.rare_overlap(*a), "addr_lev": F.col("_a.ratio"), "name_emb": emb["name"], "addr_emb": emb["addr"],
+        "name_tj": f.token_jaccard(*n), "name_lev": F.col("_k.n_ratio"), "name_c3j": f.ngram_jaccard(*n, 3), "name_c4j": f.ngram_jaccard(*n, 4),
+        "name_tss": F.col("_k.n_sort_ratio"), "name_aov": f.prefix_overlap(*n), "addr_tj": f.token_jaccard(*a), "addr_c3j": f.ngram_jaccard(*a, 3),
+        "addr_nov": f.number_overlap(*a), "addr_rov": f.rare_overlap(*a), "addr_lev": F.col("_k.a_ratio"), "name_emb": emb["name"], "addr_emb": emb["addr"],
         "ctry": f.same("country_1", "country_2"), "both_legal": f.both("has_legal_1", "has_legal_2"), "legal_xor": f.either("has_legal_1", "has_legal_2"),
         "n_tlen": f.token_difference(*n), "n_lrat": f.length_ratio(*n), "a_tlen": f.token_difference(*a), "a_lrat": f.length_ratio(*a),
     }
@@ -39,19 +38,18 @@ def first(df: DataFrame) -> DataFrame:
 
 def second(df: DataFrame) -> DataFrame:
     """Of pairs with norm_name, rom_name, norm_addr, number, acronym and has_legal of both sides."""
-    df = df.withColumn("_n", similarities(cut("norm_name_1", 120), cut("norm_name_2", 120), "ratio", "set_ratio", "jaro_winkler"))
-    df = df.withColumn("_r", similarities(cut("rom_name_1", 120), cut("rom_name_2", 120), "ratio", "set_ratio", "jaro_winkler"))
-    df = df.withColumn("_a", similarities(cut("norm_addr_1", 100), cut("norm_addr_2", 100), "ratio", "set_ratio", "jaro_winkler"))
+    kinds = ("ratio", "set_ratio", "jaro_winkler")
+    df = df.withColumn("_k", compared(n=(*cuts("norm_name", 120), *kinds), r=(*cuts("rom_name", 120), *kinds), a=(*cuts("norm_addr", 100), *kinds)))
     n, a = ("norm_name_1", "norm_name_2"), ("norm_addr_1", "norm_addr_2")
     cols = {
-        "name_tj": f.token_jaccard(*n), "name_lev": F.col("_n.ratio"), "name_jw": F.col("_n.jaro_winkler"), "name_tsr": F.col("_n.set_ratio"),
-        "name_c3": f.ngram_jaccard(*n, 3), "name_c4": f.ngram_jaccard(*n, 4), "name_tr_lev": F.col("_r.ratio"), "name_tr_jw": F.col("_r.jaro_winkler"),
-        "name_tr_tsr": F.col("_r.set_ratio"), "addr_tj": f.token_jaccard(*a), "addr_lev": F.col("_a.ratio"), "addr_jw": F.col("_a.jaro_winkler"),
-        "addr_tsr": F.col("_a.set_ratio"), "addr_c3": f.ngram_jaccard(*a, 3), "addr_nov": f.number_overlap(*a),
+        "name_tj": f.token_jaccard(*n), "name_lev": F.col("_k.n_ratio"), "name_jw": F.col("_k.n_jaro_winkler"), "name_tsr": F.col("_k.n_set_ratio"),
+        "name_c3": f.ngram_jaccard(*n, 3), "name_c4": f.ngram_jaccard(*n, 4), "name_tr_lev": F.col("_k.r_ratio"), "name_tr_jw": F.col("_k.r_jaro_winkler"),
+        "name_tr_tsr": F.col("_k.r_set_ratio"), "addr_tj": f.token_jaccard(*a), "addr_lev": F.col("_k.a_ratio"), "addr_jw": F.col("_k.a_jaro_winkler"),
+        "addr_tsr": F.col("_k.a_set_ratio"), "addr_c3": f.ngram_jaccard(*a, 3), "addr_nov": f.number_overlap(*a),
         "num_exact": f.equal_filled("number_1", "number_2"), "acro_match": f.equal_filled("acronym_1", "acronym_2"),
         "both_legal": f.both("has_legal_1", "has_legal_2"), "legal_xor": f.either("has_legal_1", "has_legal_2"),
         "n_tlen_diff": f.token_difference(*n), "n_lrat": f.length_ratio(*n), "a_tlen_diff": f.token_difference(*a), "a_lrat": f.length_ratio(*a),
-        "first_tok_match": f.first_token(*n), "prescore": F.greatest("_n.ratio", "_r.ratio") * 1.2 + F.col("_a.ratio"),
+        "first_tok_match": f.first_token(*n), "prescore": F.greatest("_k.n_ratio", "_k.r_ratio") * 1.2 + F.col("_k.a_ratio"),
     }
     return df.select(*KEEP, *[cols[c].cast("float").alias(c) for c in SECOND])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.functions.kernels import indel, similarities
+from kinlink.functions.kernels import accent_fold_lower, compared
 from kinlink.functions.text import filled
 from kinlink.operators.blocking import top
 
@@ -21,11 +21,15 @@ def cut(c: str, n: int):
     return F.substring(filled(c), 1, n)
 
 
+def cuts(c: str, n: int):
+    """The first n characters of a column of either side."""
+    return cut(f"{c}_1", n), cut(f"{c}_2", n)
+
+
 def first_score(df: DataFrame) -> DataFrame:
     """First generation: 1.2 times the name's ratio plus the address's, on prefixes of 100 and 80."""
-    name = indel(cut("norm_name_1", 100), cut("norm_name_2", 100))
-    address = indel(cut("norm_addr_1", 80), cut("norm_addr_2", 80))
-    return df.withColumn("score", 1.2 * name + address)
+    df = df.withColumn("_k", compared(n=(*cuts("norm_name", 100), "ratio"), a=(*cuts("norm_addr", 80), "ratio")))
+    return df.withColumn("score", 1.2 * F.col("_k.n_ratio") + F.col("_k.a_ratio")).drop("_k")
 
 
 def first_top(df: DataFrame, k: int = 30) -> DataFrame:
@@ -35,25 +39,21 @@ def first_top(df: DataFrame, k: int = 30) -> DataFrame:
 
 def sixth_score(df: DataFrame) -> DataFrame:
     """Later first generation: 1.25 times the best of ratio, token-set ratio and that of the folded raw names, plus the address."""
-    from kinlink.functions.kernels import accent_fold
-
-    df = df.withColumn("_n", similarities(cut("norm_name_1", 100), cut("norm_name_2", 100), "ratio", "set_ratio"))
-    df = df.withColumns({"_f1": F.lower(accent_fold(filled("business_name_1"))), "_f2": F.lower(accent_fold(filled("business_name_2")))})
-    df = df.withColumn("_r", similarities("_f1", "_f2", "set_ratio"))
-    best = F.greatest("_n.ratio", "_n.set_ratio", "_r.set_ratio")
-    return df.withColumn("score", 1.25 * best + indel(cut("norm_addr_1", 80), cut("norm_addr_2", 80))).drop("_n", "_r", "_f1", "_f2")
+    folded = [accent_fold_lower(f"business_name_{k}") for k in (1, 2)]
+    df = df.withColumn("_k", compared(n=(*cuts("norm_name", 100), "ratio", "set_ratio"), f=(*folded, "set_ratio"), a=(*cuts("norm_addr", 80), "ratio")))
+    best = F.greatest("_k.n_ratio", "_k.n_set_ratio", "_k.f_set_ratio")
+    return df.withColumn("score", 1.25 * best + F.col("_k.a_ratio")).drop("_k")
 
 
 def channel_scores(df: DataFrame) -> DataFrame:
     """Second generation: best_name, best_addr, comp (1.2 name + address), roman_wins, rescue (acronym or number agrees)."""
-    df = df.withColumn("_n", similarities(cut("norm_name_1", 80), cut("norm_name_2", 80), "ratio", "set_ratio"))
-    df = df.withColumn("_r", similarities(cut("rom_name_1", 80), cut("rom_name_2", 80), "ratio", "set_ratio"))
-    df = df.withColumn("_a", similarities(cut("norm_addr_1", 70), cut("norm_addr_2", 70), "ratio", "set_ratio"))
-    raw, rom = F.greatest("_n.ratio", "_n.set_ratio"), F.greatest("_r.ratio", "_r.set_ratio")
-    df = df.withColumns({"best_name": F.greatest(raw, rom), "best_addr": F.greatest("_a.ratio", "_a.set_ratio"), "rom_score": rom, "roman_wins": rom > raw})
+    kinds = ("ratio", "set_ratio")
+    df = df.withColumn("_k", compared(n=(*cuts("norm_name", 80), *kinds), r=(*cuts("rom_name", 80), *kinds), a=(*cuts("norm_addr", 70), *kinds)))
+    raw, rom, address = (F.greatest(f"_k.{x}_ratio", f"_k.{x}_set_ratio") for x in "nra")
+    df = df.withColumns({"best_name": F.greatest(raw, rom), "best_addr": address, "rom_score": rom, "roman_wins": rom > raw})
     agrees = lambda c: (filled(f"{c}_1") != "") & (filled(f"{c}_1") == filled(f"{c}_2"))
     rescue = agrees("acronym") | (agrees("number") & (F.col("best_addr") >= 0.40))
-    return df.withColumns({"comp": 1.2 * F.col("best_name") + F.col("best_addr"), "rescue": rescue}).drop("_n", "_r", "_a")
+    return df.withColumns({"comp": 1.2 * F.col("best_name") + F.col("best_addr"), "rescue": rescue}).drop("_k")
 
 
 def channels(scored: DataFrame, cap: int = 60, best: int = 25, bar: float = 1.40, address: int = 10, roman: int = 10, rescues: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.functions import text
+from kinlink.functions import kernels, text
 from kinlink.operators import blocking, decide, keys, model, pair_features, prescreen
 
 
@@ -27,14 +27,13 @@ class LinkConfig:
 
 def normalised(entities: DataFrame) -> DataFrame:
     """entities with norm_name, rom_name, norm_addr, number, acronym, has_legal; the same for queries and targets."""
-    return entities.withColumns({
-        "norm_name": text.name_second("business_name"),
-        "rom_name": text.name_romanised("business_name"),
-        "norm_addr": text.address_second("business_address", "country"),
+    forms = entities.withColumn("_forms", kernels.second_forms("business_name", "business_address", "country"))
+    return forms.withColumns({
+        **{c: F.col("_forms")[c] for c in ("norm_name", "rom_name", "norm_addr")},
         "number": text.primary_number("business_address"),
         "acronym": text.acronym("business_name"),
         "has_legal": text.has_legal("business_name"),
-    })
+    }).drop("_forms")
 
 
 def normalised_first(entities: DataFrame) -> DataFrame:

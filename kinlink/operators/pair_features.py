@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.functions import features as f
@@ -54,6 +54,11 @@ def second(df: DataFrame) -> DataFrame:
     return df.select(*KEEP, *[cols[c].cast("float").alias(c) for c in SECOND])
 
 
+def hashed(*columns: str, seed: int) -> Column:
+    """A number below 2**32 of columns and a seed, the same in every engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *columns, F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+
+
 def labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """pairs with label 1 where the pair is in truth (s1_id, cand_id), else 0."""
     true = truth.select(*KEEP, F.lit(1).alias("label")).distinct()
@@ -65,21 +70,19 @@ def training_pairs(pairs: DataFrame, per_positive: int = 6, seed: int = 42) -> D
     from pyspark.sql import Window
 
     own = Window.partitionBy("s1_id")
-    rank = F.row_number().over(own.orderBy("label", F.xxhash64("s1_id", "cand_id", F.lit(seed)), "cand_id"))
+    rank = F.row_number().over(own.orderBy("label", hashed("s1_id", "cand_id", seed=seed), "cand_id"))
     df = pairs.withColumns({"_rank": rank, "_positive": F.sum("label").over(own)})
     return df.filter((F.col("label") == 1) | (F.col("_rank") <= per_positive * F.col("_positive") + 1)).drop("_rank", "_positive")
 
 
 def grouped_split(pairs: DataFrame, percent: int = 15, seed: int = 42) -> DataFrame:
     """pairs with validation (boolean); all pairs of a query fall on the same side."""
-    return pairs.withColumn("validation", F.pmod(F.xxhash64("s1_id", F.lit(seed)), F.lit(100)) < percent)
-
-
+    return pairs.withColumn("validation", hashed("s1_id", seed=seed) % 100 < percent)
 
 
 def selected_pairs(truth: DataFrame, candidates: DataFrame, positives: int, negatives: int, seed: int = 42) -> DataFrame:
     """s1_id, cand_id, label: so many true pairs and so many candidates that are not true, by hash, the same on every run."""
-    key = F.xxhash64(*KEEP, F.lit(seed))
+    key = hashed(*KEEP, seed=seed)
     true = truth.select(*KEEP).distinct()
     yes = true.orderBy(key, *KEEP).limit(positives).withColumn("label", F.lit(1))
     no = candidates.select(*KEEP).join(true, list(KEEP), "left_anti").distinct().orderBy(key, *KEEP).limit(negatives).withColumn("label", F.lit(0))

@@ -10,6 +10,10 @@ from kinlink.functions.text import filled
 from kinlink.operators.blocking import top
 
 
+#: What the channels rank by.
+CHANNELS = ("s1_id", "cand_id", "comp", "best_addr", "rom_score", "roman_wins", "rescue")
+
+
 def attributes(pairs: DataFrame, s1: DataFrame, s23: DataFrame, *columns: str) -> DataFrame:
     """pairs with the columns of both entities, suffixed _1 and _2; pairs with an unknown id go."""
     left = s1.select(F.col("entity_id").alias("s1_id"), *[F.col(c).alias(f"{c}_1") for c in columns])
@@ -62,7 +66,7 @@ def channels(scored: DataFrame, cap: int = 60, best: int = 25, bar: float = 1.40
     scored is used once for each branch and should be written or persisted. Every branch is a ranking of its own, so
     each gets its group limit before the shuffle. Rescued pairs are taken by comp, then id.
     """
-    narrow = scored.select("s1_id", "cand_id", "comp", "best_addr", "rom_score", "roman_wins", "rescue")
+    narrow = scored.select(*CHANNELS)
     branches = [
         top(narrow, best, F.desc("comp")),
         narrow.filter(F.col("comp") >= bar),

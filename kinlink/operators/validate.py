@@ -71,8 +71,23 @@ def header_errors(first_line: str | None, expected: list[str]) -> list[str]:
 
 
 def malformed(lines: DataFrame) -> DataFrame:
-    """Findings for lines (value) that are not blank and have no tab."""
-    return offenders(lines.filter((F.trim("value") != "") & ~F.col("value").contains("\t")), "malformed", F.col("value"))
+    """Findings for lines (value, and line where numbers are known) that are not blank and have no tab."""
+    what = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), F.col("value")) if "line" in lines.columns else F.col("value")
+    return offenders(lines.filter((F.trim("value") != "") & ~F.col("value").contains("\t")), "malformed", what)
+
+
+def numbered(spark, path: str) -> DataFrame:
+    """value, file and line (from 1) of the lines of a text file or of each file of a folder.
+
+    A line's number is its place in its split and the lines of the file's earlier splits, counted with one narrow row a split.
+    """
+    from pyspark.sql import Window
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "at", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(splits, ["file", "at"]).select("value", "file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"))
 
 
 def passes(reported: DataFrame) -> bool:
@@ -89,15 +104,14 @@ def read_lists(spark, path: str, expected: list[str]) -> tuple[DataFrame | None,
     """Rows (s1_id, ids) and malformed lines of a list file, or what keeps it from being read. Blank lines are ignored."""
     if not exists(spark, path):
         return None, None, [f"{path} does not exist"]
-    lines = spark.read.text(path)
+    lines = numbered(spark, path)
     if lines.filter(~F.is_valid_utf8("value")).limit(1).count():
         return None, None, [f"{path} is not UTF-8"]
-    head = lines.limit(1).collect()  # the first line of the first file
-    wrong = header_errors(head[0]["value"] if head else None, expected)
+    heads = [r["value"] for r in lines.filter("line = 1").select("value").distinct().limit(2).collect()]  # every file of a folder has the header
+    wrong = [e for h in heads or [None] for e in header_errors(h, expected)]
     if wrong:
         return None, None, wrong
-    header = F.lower(F.array_join(F.transform(F.split("value", "\t"), lambda x: F.trim(x)), "\t"))
-    body = lines.filter(header != "\t".join(expected))
+    body = lines.filter("line > 1")
     parts = F.split("value", "\t", 2)
     rows = body.filter(F.col("value").contains("\t")).select(F.trim(F.get(parts, F.lit(0))).alias("s1_id"), F.trim(F.get(parts, F.lit(1))).alias("ids"))
     return rows, malformed(body), []

@@ -1,7 +1,8 @@
 """Named queries of the linkage engine and their DuckDB SQL.
 
-Entity tables are the fixtures of plans.fixtures over whole tables. Scores without a model are pseudo-scores of
-modular arithmetic on ids, which both engines compute alike; doubles are rounded to six decimals.
+Entity tables are the fixtures of plans.fixtures over whole tables: names and addresses are whole lines of documents,
+or whole columns. Scores without a model are pseudo-scores of modular arithmetic on ids, which both engines compute
+alike; doubles are rounded to six decimals.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 from kinlink.functions import features as f
 from kinlink.functions import tables as T
 from kinlink.functions import text
-from kinlink.functions.kernels import KINDS, accent_fold, similarities
+from kinlink.functions.kernels import accent_fold, romanised, similarities
 from kinlink.operators import blocking, decide, keys, metrics, model, pair_features, prescreen, validate
 from kinlink.plans import sqlbits as S
 from kinlink.plans.fixtures import SQL, entities, sides
-from kinlink.plans.link import LinkConfig, candidates, link, normalised, normalised_first
+from kinlink.plans.link import FORMS, LinkConfig, candidates, entity_keys, link, normalised, normalised_first, rescored
+from kinlink.plans.training import TrainConfig, fit
+from kinlink.sources import tsv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,13 +53,14 @@ def scalar(name: str, kind: str, column: Callable[[], object], sql: str) -> None
     query(name, f"with e as ({SQL[kind]}) select entity_id, {sql} as value from e")(run)
 
 
-def keyed(name: str, kind: str, column: Callable[[], object], sql: str) -> None:
-    """A query with one row for each blocking key of an entity."""
+def keyed(name: str, kind: str, column: Callable[[], object], sql: str, **steps: str) -> None:
+    """A query with one row for each blocking key of an entity; steps are columns that the SQL computes first."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return named(spark, sf_dir, kind).select("entity_id", F.explode(F.array_distinct(column())).alias("key"))
 
-    query(name, f"with e as ({SQL[kind]}) select entity_id, unnest(list_distinct({sql})) as key from e")(run)
+    first = "".join(f", {x} as {c}" for c, x in steps.items())
+    query(name, f"with e as ({SQL[kind]}), f as materialized (select *{first} from e) select entity_id, unnest(list_distinct({sql})) as key from f")(run)
 
 
 # normalisers ----------------------------------------------------------------------------------------------------
@@ -127,10 +131,10 @@ def address() -> object:
     return C("norm_addr")
 
 
-keyed("keys_v1_pairs", "doc", lambda: keys.v1_pairs(name()), S.pairs(_t2))
-keyed("keys_v1_bag", "doc", lambda: keys.v1_bag(name()), f"case when len({_t2}) > 0 then [array_to_string(({_t2})[1:6], '|')] else [] end")
-_long = f"(list_sort(list_transform(range(1, len({S.tokens(_n, 2)})::bigint + 1), lambda i: struct_pack(n := -length(({S.tokens(_n, 2)})[i]), i := i, t := ({S.tokens(_n, 2)})[i])))[1]).t"
-keyed("keys_v1_prefix", "doc", lambda: keys.v1_prefix(name()), f"case when length({_long}) >= 4 then ['pfx:' || substr({_long}, 1, 4)] else [] end")
+keyed("keys_v1_pairs", "doc", lambda: keys.v1_pairs(name()), S.pairs("t"), t=_t2)
+keyed("keys_v1_bag", "doc", lambda: keys.v1_bag(name()), "case when len(t) > 0 then [array_to_string(t[1:6], '|')] else [] end", t=_t2)
+_long = "(list_sort(list_transform(range(1, len(t)::bigint + 1), lambda i: struct_pack(n := -length(t[i]), i := i, t := t[i])))[1]).t"
+keyed("keys_v1_prefix", "doc", lambda: keys.v1_prefix(name()), f"case when length({_long}) >= 4 then ['pfx:' || substr({_long}, 1, 4)] else [] end", t=S.tokens(_n, 2))
 keyed("keys_v1_tokens", "doc", lambda: keys.v1_tokens(name()), f"list_transform({S.tokens(_n, 2)}, lambda t: 'tok:' || t)")
 _dig = rf"list_filter({S.tokens(_a)}, lambda t: regexp_matches(t, '\d'))"
 keyed("keys_v1_num", "part", lambda: keys.v1_number(address()), f"case when len({_dig}) > 0 then ['num:' || ({_dig})[1]] else [] end")
@@ -138,7 +142,7 @@ _l4 = S.tokens(_a, 4)
 _two = f"list_sort(list_transform((list_sort(list_transform(range(1, len({_l4})::bigint + 1), lambda i: struct_pack(n := -length(({_l4})[i]), i := i, t := ({_l4})[i]))))[1:2], lambda r: r.t))"
 keyed("keys_v1_addr", "part", lambda: keys.v1_address(address()), f"case len({_two}) when 0 then [] when 1 then ['adr1:' || ({_two})[1]] else ['adr:' || array_to_string({_two}, '|')] end")
 _own = S.ascii_tokens(_n, 2)
-keyed("keys_v2_tok2", "doc", lambda: keys.v2_names(name()), f"case when len({_own}) = 1 then ['tok1:' || ({_own})[1]] else {S.pairs(f'({_own})[1:5]', 'tok2:', False)} end")
+keyed("keys_v2_tok2", "doc", lambda: keys.v2_names(name()), f"case when len(own) = 1 then ['tok1:' || own[1]] else {S.pairs('own[1:5]', 'tok2:', False)} end", own=_own)
 _gen = ", ".join(map(S.quoted, T.GENERIC_ADDRESS))
 _at = f"list_filter({S.ascii_tokens(_a, 3)}, lambda t: t not in ({_gen}))"
 keyed("keys_v2_adr2", "doc", lambda: keys.v2_addresses(address()), S.pairs(f"({_at})[1:4]", "adr2:", False))
@@ -152,39 +156,120 @@ keyed("keys_v2_g4", "doc", lambda: keys.v2_grams(name(), name()), f"flatten(list
 keyed("keys_v2_acro", "doc", lambda: keys.v2_acronym(C("business_name"), False), f"case when {_acro} <> '' then ['acro:' || {_acro}] else [] end")
 
 
+scalar("romanised", "rec", lambda: romanised(text.filled("business_name")), S.roman("business_name"))
+
+
+_SECOND = f"""e as materialized ({SQL["rec"]}),
+f as materialized (select *, {S.second_name("business_name")} as norm_name, {S.rom_name("business_name")} as rom_name, {S.second_address("business_address", "country")} as norm_addr,
+  case when len({_num}) = 0 then '' when ltrim(({_num})[1], '0') = '' then '0' else ltrim(({_num})[1], '0') end as number, {_acro} as acronym,
+  regexp_matches(lower(coalesce(business_name, '')), '(^|[^{S.W}])({_forms}|sp\\.?z\\.?o\\.?o)($|[^{S.W}])') as has_legal from e)"""
+
+
+@query("normalise_v2", f"with {_SECOND} select * from f")
+def _normalise_v2(spark, sf_dir):
+    """Every second-generation form of an entity, of Brahmic and accented names too."""
+    return normalised(entities(spark, sf_dir, "rec"))
+
+
+_spelt = f"list_transform(list_filter(regexp_extract_all(coalesce(business_name, ''), '[{S.W}]+'), lambda t: regexp_matches(t, '^[A-Z]{{2,6}}$')), lambda t: 'acro:' || lower(t))"
+_firsts = "list_concat(own[1:1], case when rom <> own then rom[1:1] else [] end)"
+_four_of = "list_filter(list_concat(own[1:2], rom[1:2]), lambda t: length(t) >= 4)"
+_FAMILIES = {
+    "names": f"case when len(own) = 1 then ['tok1:' || own[1]] else {S.pairs('own[1:5]', 'tok2:', False)} end",
+    "romanised": f"case when len(rom) > 0 and rom <> own then list_concat({S.pairs('rom[1:4]', 'tok2:', False)}, list_transform(list_filter(rom[1:3], lambda t: length(t) >= 3), lambda t: 'tr1:' || t)) else [] end",
+    "acronym": f"list_concat(case when acronym <> '' then ['acro:' || acronym] else [] end, case when starts_with(entity_id, 'S1-') then {_spelt} else [] end)",
+    "numbers": f"list_concat(flatten(list_transform(nums, lambda n: list_transform(words[1:3], lambda a: 'na:' || n || '|' || a))), flatten(list_transform(nums, lambda n: list_transform({_firsts}, lambda a: 'nn:' || n || '|' || a))))",
+    "addresses": S.pairs("words[1:4]", "adr2:", False),
+    "grams": f"flatten(list_transform({_four_of}, lambda t: list_transform(range(1, length(t) - 2), lambda i: 'g4:' || substr(t, i, 4))))",
+}
+_words_of = f"list_filter({S.ascii_tokens('norm_addr', 3)}, lambda t: t not in ({_gen}))"
+_tokens_of = f"""{_SECOND},
+g as materialized (select *, {S.ascii_tokens("norm_name", 2)} as own, {S.ascii_tokens("case when rom_name = '' then norm_name else rom_name end", 2)} as rom, {_words_of} as words, {_nums} as nums from f)"""
+_all_keys = "list_distinct(" + "".join(f"list_concat({x}, " for x in list(_FAMILIES.values())[:-1]) + _FAMILIES["grams"] + ")" * len(_FAMILIES)
+_keys_second = f"{_tokens_of},\nk as materialized (select entity_id, country, unnest({_all_keys}) as key from g)"
+
+
+def second_keys(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return tuple(entity_keys(normalised(x), query, LinkConfig()) for x, query in zip(sides(entities(spark, sf_dir, "rec")), (True, False), strict=True))
+
+
+@query("keys_v2_full", f"with {_keys_second} select * from k")
+def _keys_second_of_all(spark, sf_dir):
+    """All second-generation keys, with romanised ones and the query side's spelt acronyms."""
+    one, two = second_keys(spark, sf_dir)
+    return one.unionByName(two)
+
+
+@query("keys_v2_romanised", f"with {_tokens_of} select entity_id, unnest(list_distinct({_FAMILIES['romanised'].replace('tok2:', 'tr2:')})) as key from g")
+def _keys_romanised(spark, sf_dir):
+    e = normalised(entities(spark, sf_dir, "rec"))
+    return e.select("entity_id", F.explode(F.array_distinct(keys.v2_romanised(C("norm_name"), F.when(C("rom_name") == "", C("norm_name")).otherwise(C("rom_name"))))).alias("key"))
+
+
+_bare = rf"trim(lower(regexp_replace(regexp_replace(regexp_replace(coalesce(business_name, ''), '^#+', ''), '(?i)\.({'|'.join(T.DOMAINS)})$', ''), '([a-z])([A-Z])', '\1 \2', 'g')))"
+_v1 = lambda t, u: f"list_concat(list_concat({S.pairs(u)}, case when len({u}) > 0 then [array_to_string({u}[1:6], '|')] else [] end), list_transform({t}, lambda t: 'tok:' || t))"
+_longest_of = lambda t, n: f"list_transform(list_sort(list_transform(range(1, len({t})::bigint + 1), lambda i: struct_pack(n := -length({t}[i]), i := i, t := {t}[i])))[1:{n}], lambda r: r.t)"
+_keys_first = f"""e as materialized ({SQL["rec"]}),
+f as materialized (select *, {S.squeeze(S.hyphens(_first))} as n, {S.squeeze(S.hyphens(_where))} as a, {_bare} as bare from e),
+g as materialized (select *, {S.tokens("n", 2)} as t, {S.tokens("bare", 2)} as tb, {S.tokens("a")} as ta, {S.tokens("a", 4)} as t4 from f),
+h as materialized (select *, list_sort(list_distinct(t)) as u, list_sort(list_distinct(tb)) as ub, {_longest_of("t", 1)} as l1, list_sort({_longest_of("t4", 2)}) as l2, list_filter(ta, lambda t: regexp_matches(t, '\\d')) as nums from g),
+k as materialized (select entity_id, country, unnest(list_distinct(list_concat(list_concat(list_concat(list_concat({_v1("t", "u")}, case when length(l1[1]) >= 4 then ['pfx:' || substr(l1[1], 1, 4)] else [] end),
+  case when len(nums) > 0 then ['num:' || nums[1]] else [] end), case len(l2) when 0 then [] when 1 then ['adr1:' || l2[1]] else ['adr:' || array_to_string(l2, '|')] end), case when tb <> t then {_v1("tb", "ub")} else [] end))) as key from h)"""
+
+
+def first_keys(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return tuple(
+        blocking.long_keys(x, keys.v1_keys(text.name_columnwise("business_name"), text.address_columnwise("business_address"), C("business_name")), "country") for x in sides(entities(spark, sf_dir, "rec"))
+    )
+
+
+@query("keys_v1_full", f"with {_keys_first} select * from k")
+def _keys_first_of_all(spark, sf_dir):
+    """All first-generation keys, the raw name's included."""
+    one, two = first_keys(spark, sf_dir)
+    return one.unionByName(two)
+
+
 # blocking -------------------------------------------------------------------------------------------------------
 
-CAP, BY = 25, ("country",)
-#: The reference's cap, first generation, for queries without SQL.
-WHOLE = 400
-_words = f"""
-with e as ({SQL["doc"]}),
-k as (select entity_id, country, unnest(list_distinct({S.ascii_tokens("business_name", 2)})) as key from e),
+#: First generation: keys that more targets of a country have are pruned.
+CAP, BY = 400, ("country",)
+
+
+def words_of(kind: str) -> str:
+    """Name words as keys (k), of queries (q) and of targets (t)."""
+    return f"""
+with e as materialized ({SQL[kind]}),
+k as materialized (select entity_id, country, unnest(list_distinct({S.ascii_tokens("business_name", 2)})) as key from e),
 q as (select * from k where starts_with(entity_id, 'S1-')), t as (select * from k where not starts_with(entity_id, 'S1-')),"""
-_rare = _words + f" rare as (select country, key, count(*) as df from t group by all having count(*) <= {CAP}),"
+
+
+_words = words_of("rec")
+_frequent = f" rare as (select country, key, count(*) as df from t group by all having count(*) <= {CAP}),"
+_rare = _words + _frequent
 _pairs = _rare + """
 p as (select q.entity_id as s1_id, t.entity_id as cand_id, count(*) as n_keys from q join t using (country, key) join rare using (country, key) group by all)"""
 
 
-def word_keys(spark, sf_dir, kind="doc") -> tuple[DataFrame, DataFrame]:
+def word_keys(spark, sf_dir, kind="rec") -> tuple[DataFrame, DataFrame]:
     """Distinct name words of queries and of targets, with their country."""
     return tuple(blocking.long_keys(x, F.array_distinct(text.ascii_tokens("business_name", 2)), *BY) for x in sides(entities(spark, sf_dir, kind)))
 
 
-def doc_pairs(spark, sf_dir, cap: int = CAP) -> DataFrame:
+def word_pairs(spark, sf_dir) -> DataFrame:
     q, t = word_keys(spark, sf_dir)
-    return blocking.block(q, blocking.pruned(t, cap, by=BY), BY)
+    return blocking.block(q, blocking.pruned(t, CAP, by=BY), BY)
 
 
-@query("key_df_pruned", _rare[:-1] + " select country, key, df from rare")
+@query("key_df_pruned", words_of("doc") + _frequent[:-1] + " select country, key, df from rare")
 def _pruned(spark, sf_dir):
-    _, t = word_keys(spark, sf_dir)
+    _, t = word_keys(spark, sf_dir, "doc")
     return blocking.pruned(t, CAP, by=BY).groupBy("country", "key").agg(F.count("*").alias("df"))
 
 
 @query("block_pairs_country", _pairs + " select * from p")
 def _block_country(spark, sf_dir):
-    return doc_pairs(spark, sf_dir)
+    return word_pairs(spark, sf_dir)
 
 
 @query("block_pairs", _words + f" rare as (select key from t group by key having count(*) <= {CAP}) select q.entity_id as s1_id, t.entity_id as cand_id, count(*) as n_keys from q join t using (key) join rare using (key) group by all")
@@ -195,27 +280,30 @@ def _block(spark, sf_dir):
 
 @query("cand_cap", _pairs + " select * from p qualify row_number() over (partition by s1_id order by n_keys desc, cand_id) <= 5")
 def _capped(spark, sf_dir):
-    return blocking.capped(doc_pairs(spark, sf_dir), 5)
+    return blocking.capped(word_pairs(spark, sf_dir), 5)
 
 
-_TRUE = "x as (select a.entity_id as s1_id, b.entity_id as cand_id from e a join e b on a.business_name = b.business_name and a.country = b.country and starts_with(a.entity_id, 'S1-') and not starts_with(b.entity_id, 'S1-'))"
+_sold = "select p_partkey, case p_partkey % 3 when 0 then 'S1-' when 1 then 'S2-' else 'S3-' end || cast(p_partkey as varchar(20)) as id, p_name, p_type, p_brand from part"
+_TRUE = f"x as (select a.id as s1_id, b.id as cand_id from ({_sold}) a join ({_sold}) b on a.p_name = b.p_name and a.p_type = b.p_type and a.p_brand = b.p_brand and starts_with(a.id, 'S1-') and not starts_with(b.id, 'S1-'))"
 
 
-def doc_truth(spark, sf_dir) -> DataFrame:
-    """Pairs of equal names in one country."""
-    q, t = sides(entities(spark, sf_dir, "doc"))
-    return q.select("business_name", "country", C("entity_id").alias("s1_id")).join(t.select("business_name", "country", C("entity_id").alias("cand_id")), ["business_name", "country"]).select("s1_id", "cand_id")
+def truth(spark, sf_dir) -> DataFrame:
+    """Pairs of the same thing: parts of one name, type and brand, however their records are written."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    tag = F.when(C("p_partkey") % 3 == 0, "S1-").when(C("p_partkey") % 3 == 1, "S2-").otherwise("S3-")
+    q, t = sides(p.select(F.concat(tag, C("p_partkey").cast("string")).alias("entity_id"), "p_name", "p_type", "p_brand"))
+    return q.withColumnRenamed("entity_id", "s1_id").join(t.withColumnRenamed("entity_id", "cand_id"), ["p_name", "p_type", "p_brand"]).select("s1_id", "cand_id")
 
 
 @query("blocking_recall", _pairs + f", {_TRUE} select count(*) as n_truth, count(p.s1_id) as n_found, coalesce(count(p.s1_id) / count(*)::double, 0.0) as recall from x left join p using (s1_id, cand_id)")
 def _recall(spark, sf_dir):
-    return blocking.recall(doc_truth(spark, sf_dir), doc_pairs(spark, sf_dir))
+    return blocking.recall(truth(spark, sf_dir), word_pairs(spark, sf_dir))
 
 
 @query("cand_stats", _pairs + ", c as (select s1_id, count(*) as n from p group by s1_id), m as (select count_if(starts_with(entity_id, 'S1-')) as a, count_if(not starts_with(entity_id, 'S1-')) as b from e) select coalesce(sum(n), 0)::bigint as total, coalesce(sum(n), 0) / greatest(any_value(a), 1)::double as average, coalesce(max(n), 0) as largest, any_value(a)::double * any_value(b) / greatest(coalesce(sum(n), 0), 1) as reduction from c, m")
 def _stats(spark, sf_dir):
-    q, t = sides(entities(spark, sf_dir, "doc"))
-    return blocking.stats(doc_pairs(spark, sf_dir), q.count(), t.count())
+    q, t = sides(entities(spark, sf_dir, "rec"))
+    return blocking.stats(word_pairs(spark, sf_dir), q.count(), t.count())
 
 
 @query("v1_key_count", f"with e as ({SQL['part']}), n as (select entity_id, {_n} as n, {_a} as a from e) select entity_id, len(list_distinct(list_concat(list_concat({S.pairs('list_sort(list_distinct(' + S.tokens('n', 2) + '))')}, [array_to_string((list_sort(list_distinct({S.tokens('n', 2)})))[1:6], '|')]), list_transform({S.tokens('n', 2)}, lambda t: 'tok:' || t))))::bigint as n_keys from n")
@@ -224,26 +312,35 @@ def _v1_count(spark, sf_dir):
     return e.select("entity_id", F.size(keys.gathered(keys.v1_pairs(name()), keys.v1_bag(name()), keys.v1_tokens(name()))).cast("long").alias("n_keys"))
 
 
-@query("block_v1_full")
+def _blocked(keys_sql: str, by: str, cap: str) -> str:
+    return f"""with {keys_sql},
+q as (select * from k where starts_with(entity_id, 'S1-')), t as (select * from k where not starts_with(entity_id, 'S1-')),
+rare as (select {by} from t group by all having count(*) <= {cap}),
+p as materialized (select q.entity_id as s1_id, t.entity_id as cand_id, count(*) as n_keys from q join t using ({by}) join rare using ({by}) group by all)"""
+
+
+@query("block_v1_full", _blocked(_keys_first, "key", "400") + " select * from p qualify row_number() over (partition by s1_id order by n_keys desc, cand_id) <= 300")
 def _v1_full(spark, sf_dir):
     """All first-generation keys, the raw name's included, capped at 400 and 300 candidates."""
-    e = entities(spark, sf_dir, "part")
-    q, t = (blocking.long_keys(x, keys.v1_keys(text.name_columnwise("business_name"), text.address_columnwise("business_address"), C("business_name"))) for x in sides(e))
+    q, t = first_keys(spark, sf_dir)
     return blocking.capped(blocking.block(q, blocking.pruned(t, 400)), 300)
 
 
-@query("block_v2_full")
+_pairs_second = _blocked(_keys_second, "country, key", "(case when starts_with(any_value(key), 'g4:') then 250 else 1500 end)")
+
+
+@query("block_v2_full", _pairs_second + " select * from p")
 def _v2_full(spark, sf_dir):
     """All second-generation keys in one country."""
-    return candidates(*(normalised(x) for x in sides(entities(spark, sf_dir, "cust"))))
+    return candidates(*(normalised(x) for x in sides(entities(spark, sf_dir, "rec"))))
 
 
 # features -------------------------------------------------------------------------------------------------------
 
 
-def pair_texts(spark, sf_dir, cap: int = CAP) -> DataFrame:
-    q, t = sides(entities(spark, sf_dir, "doc"))
-    return prescreen.attributes(doc_pairs(spark, sf_dir, cap), q, t, "business_name", "business_address", "country")
+def pair_texts(spark, sf_dir) -> DataFrame:
+    q, t = sides(entities(spark, sf_dir, "rec"))
+    return prescreen.attributes(word_pairs(spark, sf_dir), q, t, "business_name", "business_address", "country")
 
 
 _both = _pairs + ", b as (select s1_id, cand_id, coalesce(x.business_name, '') as n1, coalesce(y.business_name, '') as n2, coalesce(x.business_address, '') as a1, coalesce(y.business_address, '') as a2, x.country as c1, y.country as c2 from p join e x on x.entity_id = s1_id join e y on y.entity_id = cand_id)"
@@ -277,19 +374,15 @@ def _flags(spark, sf_dir):
     return df.select("s1_id", "cand_id", f.same("country_1", "country_2").alias("ctry"), f.both("l1", "l2").alias("both_legal"), f.either("l1", "l2").alias("legal_xor"))
 
 
-def _lcs(a: str, b: str) -> str:
-    """2 * LCS / (m + n) by folding the rows of the usual table."""
-    row = f"list_reduce(list_prepend([0::bigint], list_transform(range(1, length({b}) + 1), lambda j: [j])), lambda r, j: list_append(r, case when substr({a}, i, 1) = substr({b}, j[1], 1) then prev[j[1]] + 1 else greatest(prev[j[1] + 1], r[len(r)]) end))"
-    table = f"list_reduce(list_prepend(list_transform(range(0, length({b}) + 1), lambda z: 0::bigint), list_transform(range(1, length({a}) + 1), lambda i: [i])), lambda prev, ii: {row.replace('substr(' + a + ', i, 1)', 'substr(' + a + ', ii[1], 1)')})"
-    return f"case when {a} = {b} then 1.0 when length({a}) + length({b}) = 0 then 1.0 else 2.0 * ({table})[length({b}) + 1] / (length({a}) + length({b})) end"
-
+_kernel = f"{_both}, {S.kernels('select n1 as a, n2 as b from b')}"
 
-@query("feat_indel", f"{_pairs}, b as (select s1_id, cand_id, substr(x.business_name, 1, 30) as n1, substr(y.business_name, 1, 30) as n2 from p join e x on x.entity_id = s1_id join e y on y.entity_id = cand_id) select s1_id, cand_id, round({_lcs('n1', 'n2')}, 6) as value from b")
-def _indel(spark, sf_dir):
-    """The ratio on prefixes of 30, the truncation being part of the feature."""
-    from kinlink.functions.kernels import indel
 
-    return pair_texts(spark, sf_dir).select("s1_id", "cand_id", F.round(indel(prescreen.cut(N[0], 30), prescreen.cut(N[1], 30)), 6).alias("value"))
+@query("feat_kernels", f"{_kernel} select s1_id, cand_id, round(ratio, 6) as ratio, round(sort_ratio, 6) as sort_ratio, round(set_ratio, 6) as set_ratio from b join sim on n1 = a and n2 = sim.b")
+def _kernels(spark, sf_dir):
+    """Indel ratio, token-sort and token-set ratio of whole names."""
+    kinds = ("ratio", "sort_ratio", "set_ratio")
+    df = pair_texts(spark, sf_dir).withColumn("s", similarities(*N, *kinds))
+    return df.select("s1_id", "cand_id", *[F.round(f"s.{k}", 6).alias(k) for k in kinds])
 
 
 @query("feat_jaro_winkler", f"{_both} select s1_id, cand_id, round(case when n1 = n2 then 1.0 else jaro_winkler_similarity(regexp_replace(n1, '[^ -~]', '', 'g'), regexp_replace(n2, '[^ -~]', '', 'g')) end, 6) as value from b")
@@ -299,49 +392,101 @@ def _jw(spark, sf_dir):
     return df.select("s1_id", "cand_id", F.round("s.jaro_winkler", 6).alias("value"))
 
 
-@query("feat_kernels")
-def _kernels(spark, sf_dir):
-    """All four kernels on names; tests hold them against other definitions."""
-    df = pair_texts(spark, sf_dir, WHOLE).withColumn("s", similarities(*N))
-    return df.select("s1_id", "cand_id", *[F.round(f"s.{k}", 6).alias(k) for k in KINDS])
-
-
-@query("embed_dot", "select a.vec_id as s1_id, b.vec_id as cand_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::double * p[2]::double)), 6) as value from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id and b.vec_id < a.vec_id + 20")
+@query("embed_dot", "select a.vec_id as s1_id, b.vec_id as cand_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::double * p[2]::double)), 6) as value from embeddings a join embeddings b on a.label = b.label and a.vec_id % 50 = 0 and a.vec_id <> b.vec_id")
 def _dot(spark, sf_dir):
+    """A stated query set, every fiftieth vector, against all others of its label."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     b = v.select("label", C("vec_id").alias("cand_id"), C("embedding").alias("w"))
-    near = v.join(b, "label").filter("vec_id < cand_id and cand_id < vec_id + 20")
+    near = v.filter("vec_id % 50 = 0").join(b, "label").filter("vec_id <> cand_id")
     return near.select(C("vec_id").alias("s1_id"), "cand_id", F.round(f.dot("embedding", "w"), 6).alias("value"))
 
 
-def cust_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Both normalised sides, all candidates and their raw form, of the fixture with numbers."""
-    one, two = (normalised(x) for x in sides(entities(spark, sf_dir, "cust")))
-    pairs = candidates(one, two)
-    return one, two, pairs, prescreen.attributes(pairs, one, two, *LINK_COLUMNS)
+@query("embed_join", f"with e as ({SQL['part']}) select entity_id, round(coalesce(list_sum(list_transform(v.embedding, lambda x: x::double)), 0.0), 6) as value, v.vec_id is null as absent from e left join embeddings v on entity_id = (case v.vec_id % 3 when 0 then 'S1-' when 1 then 'S2-' else 'S3-' end) || v.vec_id::varchar")
+def _embedded(spark, sf_dir):
+    """Entities with the vectors of a cache; those that it lacks keep none and count 0."""
+    id_ = F.concat(F.when(C("vec_id") % 3 == 0, "S1-").when(C("vec_id") % 3 == 1, "S2-").otherwise("S3-"), C("vec_id").cast("string"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(id_.alias("entity_id"), C("embedding").alias("vector"))
+    e = tsv.embeddings(entities(spark, sf_dir, "part"), vectors, "emb")
+    total = F.aggregate("emb", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return e.select("entity_id", F.round(F.coalesce(total, F.lit(0.0)), 6).alias("value"), C("emb").isNull().alias("absent"))
+
+
+def cand_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both normalised sides and all second-generation candidates with the forms of either side."""
+    one, two = (normalised(x) for x in sides(entities(spark, sf_dir, "rec")))
+    return one, two, prescreen.attributes(candidates(one, two), one, two, *FORMS, "business_name", "country")
 
 
-LINK_COLUMNS = ("business_name", "business_address", "country", "norm_name", "rom_name", "norm_addr", "number", "acronym", "has_legal")
+_forms_of = """, b as materialized (select s1_id, cand_id, x.business_name as o1, y.business_name as o2, x.country as c1, y.country as c2,
+  x.norm_name as n1, y.norm_name as n2, x.rom_name as r1, y.rom_name as r2, x.norm_addr as a1, y.norm_addr as a2, x.number as u1, y.number as u2, x.acronym as m1, y.acronym as m2, x.has_legal as l1, y.has_legal as l2
+  from p join f x on x.entity_id = s1_id join f y on y.entity_id = cand_id),"""
 
 
-@query("features_v1")
+def _cuts(**fields: int) -> str:
+    """The distinct pairs of the cut forms."""
+    return " union ".join(f"select substr({x}1, 1, {n}) as a, substr({x}2, 1, {n}) as b from b" for x, n in fields.items())
+
+
+def _joins(**fields: int) -> str:
+    return " ".join(f"join sim k{x} on k{x}.a = substr({x}1, 1, {n}) and k{x}.b = substr({x}2, 1, {n})" for x, n in fields.items())
+
+
+def _rounded(df: DataFrame, columns) -> DataFrame:
+    return df.select("s1_id", "cand_id", *[F.round(C(c).cast("double"), 5).alias(c) for c in columns])
+
+
+def _row(features: dict[str, str]) -> str:
+    return ", ".join(f"round(({x})::float::double, 5) as {c}" for c, x in features.items())
+
+
+def _overlap(a: str, b: str) -> str:
+    return f"case when len({a}) > 0 and len({b}) > 0 then len(list_filter({a}, lambda t: len(list_filter({b}, lambda u: starts_with(u, t) or starts_with(t, u))) > 0)) / len({a})::double else 0.0 end"
+
+
+def _digits(x: str) -> str:
+    return rf"list_filter({S.tokens(x)}, lambda t: regexp_matches(t, '\d'))"
+
+
+_lengths = lambda x: f"least(length({x}1), length({x}2)) / greatest(length({x}1), length({x}2), 1)::double"
+_differ = lambda x: f"abs(len({S.tokens(f'{x}1')})::bigint - len({S.tokens(f'{x}2')})::bigint)"
+_common_features = {
+    "name_tj": S.jaccard(S.tokens("n1"), S.tokens("n2")), "addr_tj": S.jaccard(S.tokens("a1"), S.tokens("a2")), "addr_nov": S.jaccard(_digits("a1"), _digits("a2")),
+    "name_lev": "kn.ratio", "addr_lev": "ka.ratio", "both_legal": "(l1 and l2)::int", "legal_xor": "(l1 <> l2)::int", "n_lrat": _lengths("n"), "a_lrat": _lengths("a"),
+}
+_feat1 = _common_features | {
+    "name_c3j": S.jaccard(S.grams("n1", 3), S.grams("n2", 3)), "name_c4j": S.jaccard(S.grams("n1", 4), S.grams("n2", 4)), "name_tss": "kn.sort_ratio", "name_aov": _overlap(S.tokens("n1"), S.tokens("n2")),
+    "addr_c3j": S.jaccard(S.grams("a1", 3), S.grams("a2", 3)), "addr_rov": S.jaccard(S.tokens("a1", 4), S.tokens("a2", 4), " + 1e-9"), "name_emb": "0", "addr_emb": "0", "ctry": "(c1 = c2)::int",
+    "n_tlen": _differ("n"), "a_tlen": _differ("a"),
+}
+_feat2 = _common_features | {
+    "name_jw": "kn.jaro_winkler", "name_tsr": "kn.set_ratio", "name_c3": S.jaccard(S.grams("n1", 3), S.grams("n2", 3)), "name_c4": S.jaccard(S.grams("n1", 4), S.grams("n2", 4)),
+    "name_tr_lev": "kr.ratio", "name_tr_jw": "kr.jaro_winkler", "name_tr_tsr": "kr.set_ratio", "addr_jw": "ka.jaro_winkler", "addr_tsr": "ka.set_ratio", "addr_c3": S.jaccard(S.grams("a1", 3), S.grams("a2", 3)),
+    "num_exact": "(u1 <> '' and u1 = u2)::int", "acro_match": "(m1 <> '' and m1 = m2)::int", "n_tlen_diff": _differ("n"), "a_tlen_diff": _differ("a"),
+    "first_tok_match": f"coalesce((({S.tokens('n1')})[1] = ({S.tokens('n2')})[1])::int, 0)", "prescore": "greatest(kn.ratio, kr.ratio) * 1.2::double + ka.ratio",
+}
+
+
+@query("features_v1", f"{_pairs_second}{_forms_of} {S.kernels(_cuts(n=150, a=100))} select s1_id, cand_id, {_row(_feat1)} from b {_joins(n=150, a=100)}")
 def _features_v1(spark, sf_dir):
-    return pair_features.first(cust_pairs(spark, sf_dir)[3])
+    return _rounded(pair_features.first(cand_pairs(spark, sf_dir)[2]), pair_features.FIRST)
 
 
-@query("features_v2")
+@query("features_v2", f"{_pairs_second}{_forms_of} {S.kernels(_cuts(n=120, r=120, a=100))} select s1_id, cand_id, {_row(_feat2)} from b {_joins(n=120, r=120, a=100)}")
 def _features_v2(spark, sf_dir):
-    return pair_features.second(cust_pairs(spark, sf_dir)[3])
+    return _rounded(pair_features.second(cand_pairs(spark, sf_dir)[2]), pair_features.SECOND)
 
 
-@query("topk_v1")
+@query("topk_v1", f"{_pairs_second}{_forms_of} {S.kernels(_cuts(n=100, a=80))}, z as (select s1_id, cand_id, 1.2::double * kn.ratio + ka.ratio as score from b {_joins(n=100, a=80)}) select s1_id, cand_id, round(score, 6) as score, row_number() over w as rank from z window w as (partition by s1_id order by score desc, cand_id) qualify row_number() over w <= 30")
 def _topk_v1(spark, sf_dir):
-    return prescreen.first_top(cust_pairs(spark, sf_dir)[3], 30).select("s1_id", "cand_id", F.round("score", 6).alias("score"), "rank")
+    return prescreen.first_top(cand_pairs(spark, sf_dir)[2], 30).select("s1_id", "cand_id", F.round("score", 6).alias("score"), C("rank").cast("long"))
 
 
-@query("topk_v6")
+_folded = _forms_of.replace("x.business_name as o1, y.business_name as o2", "lower(strip_accents(coalesce(x.business_name, ''))) as o1, lower(strip_accents(coalesce(y.business_name, ''))) as o2")
+
+
+@query("topk_v6", f"{_pairs_second}{_folded} {S.kernels(_cuts(n=100, a=80, o=1000))}, z as (select s1_id, cand_id, 1.25::double * greatest(kn.ratio, kn.set_ratio, ko.set_ratio) + ka.ratio as score from b {_joins(n=100, a=80, o=1000)}) select s1_id, cand_id, round(score, 6) as score, row_number() over w as rank from z window w as (partition by s1_id order by score desc, cand_id) qualify row_number() over w <= 28")
 def _topk_v6(spark, sf_dir):
-    return blocking.top(prescreen.sixth_score(cust_pairs(spark, sf_dir)[3]), 28, F.desc("score")).select("s1_id", "cand_id", F.round("score", 6).alias("score"), "rank")
+    return blocking.top(prescreen.sixth_score(cand_pairs(spark, sf_dir)[2]), 28, F.desc("score")).select("s1_id", "cand_id", F.round("score", 6).alias("score"), C("rank").cast("long"))
 
 
 # ranking, decisions, metrics on pseudo-scores -------------------------------------------------------------------
@@ -351,9 +496,9 @@ _sc = f"(({_id1} * 37 + {_id2} * 101) % 1000) / 1000.0"
 _scored = _pairs + f", s as (select s1_id, cand_id, n_keys, ({_sc})::double as score from p)"
 
 
-def pseudo(spark, sf_dir, cap: int = CAP) -> DataFrame:
+def pseudo(spark, sf_dir) -> DataFrame:
     a, b = (F.substring(c, 4, 18).cast("long") for c in ("s1_id", "cand_id"))
-    return doc_pairs(spark, sf_dir, cap).withColumn("score", ((a * 37 + b * 101) % 1000) / F.lit(1000.0))
+    return word_pairs(spark, sf_dir).withColumn("score", ((a * 37 + b * 101) % 1000) / F.lit(1000.0))
 
 
 @query("topk_pairs", _scored + " select s1_id, cand_id, score, row_number() over w as rank from s window w as (partition by s1_id order by score desc, cand_id) qualify row_number() over w <= 10")
@@ -401,39 +546,39 @@ _f05 = "case when t = 0 and k = 0 then 1.0 when t = 0 or k = 0 or h = 0 then 0.0
 
 @query("macro_f05", _scored + f", {_TRUE}, pr as (select s1_id, cand_id from s where score >= 0.5){_counts} select count(*) as entities, round(avg({_f05}), 6) as f05, round(avg(case when k = 0 then 1.0 else h / k::double end), 6) as precision, round(avg(case when t = 0 then (case when k = 0 then 1.0 else 0.0 end) else h / t::double end), 6) as recall from n")
 def _macro(spark, sf_dir):
-    s1, _ = sides(entities(spark, sf_dir, "doc"))
-    out = metrics.macro(s1, doc_truth(spark, sf_dir), decide.threshold(pseudo(spark, sf_dir), 0.5))
+    s1, _ = sides(entities(spark, sf_dir, "rec"))
+    out = metrics.macro(s1, truth(spark, sf_dir), decide.threshold(pseudo(spark, sf_dir), 0.5))
     return out.select("entities", *[F.round(c, 6).alias(c) for c in ("f05", "precision", "recall")])
 
 
 @query("tune_grid", _scored + f""", {_TRUE}, i as (select distinct entity_id as s1_id from e where starts_with(entity_id, 'S1-')),
-gr as (select a.theta, b.gate from (values (0.2::double), (0.5), (0.8)) a(theta), (values (0.3::double), (0.6), (0.9)) b(gate)),
+gr as (select a.theta, b.gate from (values {", ".join(f"({x}::double)" for x in TrainConfig.thetas)}) a(theta), (values {", ".join(f"({x}::double)" for x in TrainConfig.gates)}) b(gate)),
 mx as (select *, max(score) over (partition by s1_id) as top from s),
 n as (select g.theta, g.gate, i.s1_id, (select count(*) from x where x.s1_id = i.s1_id) as t, count(m.cand_id) as k, count(x.cand_id) as h
       from gr g cross join i left join mx m on m.s1_id = i.s1_id and m.score >= g.theta and m.top >= g.gate left join x on x.s1_id = m.s1_id and x.cand_id = m.cand_id group by all)
 select theta, gate, round(avg({_f05}), 6) as f05 from n group by all""")
 def _tune(spark, sf_dir):
-    s1, _ = sides(entities(spark, sf_dir, "doc"))
-    out = metrics.tune(s1, doc_truth(spark, sf_dir), pseudo(spark, sf_dir), [0.2, 0.5, 0.8], [0.3, 0.6, 0.9])
+    s1, _ = sides(entities(spark, sf_dir, "rec"))
+    out = metrics.tune(s1, truth(spark, sf_dir), pseudo(spark, sf_dir), list(TrainConfig.thetas), list(TrainConfig.gates))
     return out.select("theta", "gate", F.round("f05", 6).alias("f05"))
 
 
 @query("run_counters", _scored + ", m as (select s1_id, count(*) as m from s where score >= 0.8 group by 1), c as (select s1_id, count(*) as c from s group by 1) select count(*) as queries, count_if(coalesce(m, 0) = 0) as singletons, coalesce(sum(m), 0)::bigint as matched, count_if(m > 1) as several, coalesce(sum(c), 0)::bigint as candidates from (select entity_id as s1_id from e where starts_with(entity_id, 'S1-')) left join m using (s1_id) left join c using (s1_id)")
 def _counters(spark, sf_dir):
-    s1, _ = sides(entities(spark, sf_dir, "doc"))
+    s1, _ = sides(entities(spark, sf_dir, "rec"))
     df = pseudo(spark, sf_dir)
     return decide.counters(s1, df, decide.threshold(df, 0.8))
 
 
 @query("match_list_sink", _scored + " select i.s1_id, coalesce(string_agg(distinct s.cand_id, ',' order by s.cand_id), '') as ids from (select entity_id as s1_id from e where starts_with(entity_id, 'S1-')) i left join (select * from s where score >= 0.8) s using (s1_id) group by 1")
 def _match_lists(spark, sf_dir):
-    s1, _ = sides(entities(spark, sf_dir, "doc"))
+    s1, _ = sides(entities(spark, sf_dir, "rec"))
     return decide.lists(s1, decide.threshold(pseudo(spark, sf_dir), 0.8))
 
 
 @query("candidate_list_sink", _scored + ", r as (select *, row_number() over (partition by s1_id order by score desc, cand_id) as r from s) select i.s1_id, coalesce(string_agg(r.cand_id, ',' order by r.r), '') as ids from (select entity_id as s1_id from e where starts_with(entity_id, 'S1-')) i left join r using (s1_id) group by 1")
 def _candidate_lists(spark, sf_dir):
-    s1, _ = sides(entities(spark, sf_dir, "doc"))
+    s1, _ = sides(entities(spark, sf_dir, "rec"))
     return decide.lists(s1, blocking.top(pseudo(spark, sf_dir), 1 << 30, F.desc("score")), "rank")
 
 
@@ -445,37 +590,53 @@ def _union(spark, sf_dir):
 
 @query("truth_labels", _scored + f", {_TRUE} select s.s1_id, s.cand_id, case when x.s1_id is null then 0 else 1 end as label from s left join x using (s1_id, cand_id)")
 def _labels(spark, sf_dir):
-    return pair_features.labelled(pseudo(spark, sf_dir).select("s1_id", "cand_id"), doc_truth(spark, sf_dir))
+    return pair_features.labelled(pseudo(spark, sf_dir).select("s1_id", "cand_id"), truth(spark, sf_dir))
 
 
 @query("needed_entities", _pairs + " select entity_id, business_name from e where entity_id in (select cand_id from p)")
 def _needed(spark, sf_dir):
-    used = doc_pairs(spark, sf_dir).select(C("cand_id").alias("entity_id")).distinct()
-    return entities(spark, sf_dir, "doc").join(used, "entity_id", "left_semi").select("entity_id", "business_name")
+    used = word_pairs(spark, sf_dir).select(C("cand_id").alias("entity_id")).distinct()
+    return entities(spark, sf_dir, "rec").join(used, "entity_id", "left_semi").select("entity_id", "business_name")
+
+
+_picked = f"(select s1_id, cand_id, 1 as label from (select distinct s1_id, cand_id from x) order by {S.portable("s1_id || '|' || cand_id || '|42'")}, s1_id, cand_id limit {TrainConfig.positives})"
+_others = f"(select s1_id, cand_id, 0 as label from (select distinct p.s1_id, p.cand_id from p left join x using (s1_id, cand_id) where x.s1_id is null) order by {S.portable("s1_id || '|' || cand_id || '|42'")}, s1_id, cand_id limit {TrainConfig.negatives})"
 
 
-@query("pair_selection")
+@query("pair_selection", f"{_pairs}, {_TRUE} select * from {_picked} union all select * from {_others}")
 def _selection(spark, sf_dir):
     """A stated number of positives and negatives by hash: the operator is a sample."""
-    return pair_features.selected_pairs(doc_truth(spark, sf_dir), doc_pairs(spark, sf_dir, WHOLE), 20, 60)
+    return pair_features.selected_pairs(truth(spark, sf_dir), word_pairs(spark, sf_dir), TrainConfig.positives, TrainConfig.negatives)
+
+
+@query("class_weight", f"{_pairs}, {_TRUE} select round(count_if(x.s1_id is null) / greatest(count(x.s1_id), 1)::double, 6) as weight from p left join x using (s1_id, cand_id)")
+def _weight(spark, sf_dir):
+    value = model.class_weight(pair_features.labelled(word_pairs(spark, sf_dir), truth(spark, sf_dir)))
+    return spark.createDataFrame([(round(value, 6),)], "weight double")
 
 
 @query("two_stage_tune")
 def _two_stage(spark, sf_dir):
     """The threshold, the gate (null if it does not help) and the metric of the two-stage search; tests hold it against the grid."""
-    s1, _ = sides(entities(spark, sf_dir, "doc"))
-    theta, gate, f05 = metrics.two_stage(s1, doc_truth(spark, sf_dir), pseudo(spark, sf_dir, WHOLE))
+    s1, _ = sides(entities(spark, sf_dir, "rec"))
+    theta, gate, f05 = metrics.two_stage(s1, truth(spark, sf_dir), pseudo(spark, sf_dir))
     return spark.createDataFrame([(theta, gate, round(f05, 6))], "theta double, gate double, f05 double")
 
 
-@query("neg_sample")
+_hash = S.portable("s1_id || '|' || cand_id || '|42'")
+
+
+@query("neg_sample", f"{_pairs}, {_TRUE}, l as (select p.*, case when x.s1_id is null then 0 else 1 end as label from p left join x using (s1_id, cand_id)) select * from l qualify label = 1 or row_number() over (partition by s1_id order by label, {_hash}, cand_id) <= 6 * sum(label) over (partition by s1_id) + 1")
 def _negatives(spark, sf_dir):
-    return pair_features.training_pairs(pair_features.labelled(doc_pairs(spark, sf_dir, WHOLE), doc_truth(spark, sf_dir)))
+    return pair_features.training_pairs(pair_features.labelled(word_pairs(spark, sf_dir), truth(spark, sf_dir)))
+
 
+_half = S.portable("s1_id || '|42'")
 
-@query("grouped_split")
+
+@query("grouped_split", f"{_pairs} select *, {_half} % 100 < 15 as validation from p")
 def _split(spark, sf_dir):
-    return pair_features.grouped_split(doc_pairs(spark, sf_dir, WHOLE))
+    return pair_features.grouped_split(word_pairs(spark, sf_dir))
 
 
 # validator ------------------------------------------------------------------------------------------------------
@@ -530,28 +691,60 @@ def _summary(spark, sf_dir):
 
 # whole linkage --------------------------------------------------------------------------------------------------
 
+_capped_second = _pairs_second.replace("p as materialized", "raw as materialized") + ", p as materialized (select * from raw qualify row_number() over (partition by s1_id order by n_keys desc, cand_id) <= 250)"
+_channel = f"""{_capped_second}{_forms_of} {S.kernels(_cuts(n=120, r=120, a=100) + " union " + _cuts(n=80, r=80, a=70))},
+c1 as (select s1_id, cand_id, greatest(kn.ratio, kn.set_ratio) as raw, greatest(kr.ratio, kr.set_ratio) as rom, greatest(ka.ratio, ka.set_ratio) as adr, (m1 <> '' and m1 = m2) as same_m, (u1 <> '' and u1 = u2) as same_u from b {_joins(n=80, r=80, a=70)}),
+c as materialized (select s1_id, cand_id, 1.2::double * greatest(raw, rom) + adr as comp, adr as best_addr, rom as rom_score, rom > raw as roman_wins, same_m or (same_u and adr >= 0.40::double) as rescue from c1),"""
+_kept = _chan[_chan.index("u as (select s1_id, cand_id, comp from c qualify") : _chan.index("\nselect s1_id, cand_id, round(comp, 6)")]
+
+
+def _kept_of(n: int) -> str:
+    return f"{_channel}\n{_kept},\nkept as materialized (select s1_id, cand_id, comp, row_number() over w as rank from u window w as (partition by s1_id order by comp desc, cand_id) qualify row_number() over w <= {n})"
+
 
-@query("link_rule")
+_as_float = lambda x: f"({x})::float::double"
+_rate = f"""rated as (select s1_id, cand_id, least(0.6::double * {_as_float("greatest(kn.ratio, kn.set_ratio, kr.ratio)")} + 0.4::double * {_as_float("greatest(ka.ratio, ka.set_ratio)")} + case when u1 <> '' and u1 = u2 then 0.05::double else 0.0::double end, 1.0::double) as score
+  from b join kept using (s1_id, cand_id) {_joins(n=120, r=120, a=100)}),
+m as (select * from rated qualify score >= 0.88 or (max(score) over (partition by s1_id) < 0.88 and score >= 0.70 and row_number() over (partition by s1_id order by score desc, cand_id) = 1))"""
+
+
+@query("link_rule", f"{_kept_of(60)}, {_rate} select s1_id, cand_id, round(score, 6) as score from m")
 def _link(spark, sf_dir):
-    """Matches of the fixture with numbers, second generation, by the rule."""
-    _, matches = link(*sides(entities(spark, sf_dir, "cust")))
+    """Matches by the second generation and the rule, with all its caps."""
+    _, matches = link(*sides(entities(spark, sf_dir, "rec")))
     return matches.select("s1_id", "cand_id", F.round("score", 6).alias("score"))
 
 
-@query("link_candidates")
+@query("link_candidates", f"{_kept_of(28)} select s1_id, cand_id, round(comp, 6) as comp, rank from kept")
 def _link_candidates(spark, sf_dir):
-    kept, _ = link(*sides(entities(spark, sf_dir, "cust")), LinkConfig(per_entity=28))
-    return kept.select("s1_id", "cand_id", F.round("comp", 6).alias("comp"), "rank")
+    kept, _ = link(*sides(entities(spark, sf_dir, "rec")), LinkConfig(per_entity=28))
+    return kept.select("s1_id", "cand_id", F.round("comp", 6).alias("comp"), C("rank").cast("long"))
+
+
+@query("link_subset", f"{_kept_of(60)}, {_rate} select count(*) as matches, count_if(kept.s1_id is not null) as among_candidates from m left join kept using (s1_id, cand_id)")
+def _subset(spark, sf_dir):
+    """Matches and how many of them are kept candidates: all."""
+    kept, matches = link(*sides(entities(spark, sf_dir, "rec")))
+    known = kept.select("s1_id", "cand_id", F.lit(1).alias("k"))
+    return matches.join(known, ["s1_id", "cand_id"], "left").agg(F.count("*").alias("matches"), F.count("k").alias("among_candidates"))
+
+
+_listed = f"{_pairs_second}{_forms_of} {S.kernels(_cuts(n=120, r=120, a=100))}, kept as (select s1_id, cand_id from p), {_rate}"
+
+
+@query("rescore_lists", f"{_listed} select i.s1_id, coalesce(string_agg(distinct m.cand_id, ',' order by m.cand_id), '') as ids from (select entity_id as s1_id from e where starts_with(entity_id, 'S1-')) i left join m using (s1_id) group by 1")
+def _rescored(spark, sf_dir):
+    """The lists of a run that starts from candidates on file."""
+    one, two = sides(entities(spark, sf_dir, "rec"))
+    return rescored(candidates(normalised(one), normalised(two)), one, two)
 
 
 @query("gbt_score")
 def _gbt(spark, sf_dir):
-    """Trees trained on number agreement between names, scored on the same pairs."""
-    _, _, _, df = cust_pairs(spark, sf_dir)
-    vectors = pair_features.second(df).cache()
-    label = F.when((C("num_exact") == 1) & (C("name_c3") > 0.5), 1).otherwise(0)
-    fitted = model.train(vectors.withColumn("label", label), pair_features.SECOND, rounds=5, depth=3)
-    return model.score(fitted, vectors).select("s1_id", "cand_id", F.round("score", 4).alias("score"))
+    """Trees that learn the same things from the records' texts, with few rounds; scores of all candidates."""
+    one, two, pairs = cand_pairs(spark, sf_dir)
+    trained = fit(*sides(entities(spark, sf_dir, "rec")), truth(spark, sf_dir), TrainConfig(rounds=5, depth=3))
+    return model.score(trained.fitted, pair_features.second(pairs)).select("s1_id", "cand_id", F.round("score", 4).alias("score"))
 
 
 @query("linkage_slice", _pairs + f""", b as (select p.*, {S.jaccard(S.ascii_tokens('x.business_name', 2), S.ascii_tokens('y.business_name', 2))} as j from p join e x on x.entity_id = p.s1_id join e y on y.entity_id = p.cand_id)

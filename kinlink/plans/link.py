@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 
 from kinlink.functions import kernels, text
 from kinlink.operators import blocking, decide, keys, model, pair_features, prescreen
+from kinlink.plans.store import written
 
 
 @dataclass(frozen=True)
 class LinkConfig:
-    """Caps and thresholds. Keys that more than cap targets of a country have are pruned; gram_cap is the cap of 4-gram keys."""
+    """Caps and thresholds. Keys that more than cap targets of a country have are pruned; gram_cap is the cap of 4-gram keys.
+
+    A query keeps the max_candidates targets that share most keys with it, and of those the per_entity best of the channels.
+    """
 
     cap: int = 1500
     gram_cap: int = 250
+    max_candidates: int = 250
     per_entity: int = 60
     theta: float = 0.88
     least: float = 0.70
@@ -45,7 +50,8 @@ def normalised_first(entities: DataFrame) -> DataFrame:
     })
 
 
-COLUMNS = ("business_name", "business_address", "country", "norm_name", "rom_name", "norm_addr", "number", "acronym", "has_legal")
+#: What the second generation's scores and features read of an entity.
+FORMS = ("norm_name", "rom_name", "norm_addr", "number", "acronym", "has_legal")
 
 
 def entity_keys(entities: DataFrame, query: bool, config: LinkConfig) -> DataFrame:
@@ -54,23 +60,47 @@ def entity_keys(entities: DataFrame, query: bool, config: LinkConfig) -> DataFra
     return blocking.long_keys(entities, own, *config.by)
 
 
+def target_index(targets: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
+    """Keys of normalised targets without the frequent ones."""
+    return blocking.pruned(entity_keys(targets, False, config), config.cap, {"g4:": config.gram_cap} | config.caps, config.by)
+
+
 def candidates(s1: DataFrame, s23: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
-    """s1_id, cand_id, n_keys of normalised entities; a query meets targets of its country only."""
-    index = blocking.pruned(entity_keys(s23, False, config), config.cap, {"g4:": config.gram_cap} | config.caps, config.by)
-    return blocking.block(entity_keys(s1, True, config), index, config.by)
+    """s1_id, cand_id, n_keys of normalised entities; a query meets targets of its country only. All of them, before any cap."""
+    return blocking.block(entity_keys(s1, True, config), target_index(s23, config), config.by)
 
 
 def link(s1: DataFrame, s23: DataFrame, config: LinkConfig = LinkConfig(), fitted=None) -> tuple[DataFrame, DataFrame]:
     """Kept candidates (s1_id, cand_id, comp, rank) and matches (s1_id, cand_id, score) of raw entity tables.
 
-    Normalised tables and kept candidates are persisted, as several branches read them; memory spills to disk.
+    fitted is a model of plans.training or operators.model; without one the rule scores. What several branches read is
+    written once in the shared folder (plans.store): normalised entities, narrow channel scores, kept candidates.
     """
-    from pyspark import StorageLevel
+    two = written(normalised(s23), "targets")
+    return link_prepared(s1, two, target_index(two, config), config, fitted)
+
+
+def link_prepared(s1: DataFrame, targets: DataFrame, index: DataFrame, config: LinkConfig = LinkConfig(), fitted=None) -> tuple[DataFrame, DataFrame]:
+    """The same for targets that are normalised and keyed already."""
+    one = written(normalised(s1), "queries")
+    pairs = blocking.capped(blocking.block(entity_keys(one, True, config), index, config.by), config.max_candidates)
+    scored = prescreen.channel_scores(prescreen.attributes(pairs.select("s1_id", "cand_id"), one, targets, *FORMS))
+    kept = written(prescreen.channels(written(scored.select(*prescreen.CHANNELS), "channels"), config.per_entity), "kept")
+    return kept, matched(kept, one, targets, config, fitted)
 
-    one, two = (normalised(x).persist(StorageLevel.DISK_ONLY) for x in (s1, s23))
-    pairs = prescreen.attributes(candidates(one, two, config), one, two, *COLUMNS)
-    scored = prescreen.channel_scores(pairs).persist(StorageLevel.DISK_ONLY)
-    kept = prescreen.channels(scored, config.per_entity)
-    vectors = pair_features.second(prescreen.attributes(kept.select("s1_id", "cand_id"), one, two, *COLUMNS))
+
+def matched(pairs: DataFrame, one: DataFrame, two: DataFrame, config: LinkConfig = LinkConfig(), fitted=None) -> DataFrame:
+    """s1_id, cand_id, score of the matches among pairs of normalised entities; pairs with an unknown id go."""
+    vectors = pair_features.second(prescreen.attributes(pairs.select("s1_id", "cand_id"), one, two, *FORMS))
     rated = model.score(fitted, vectors) if fitted is not None else model.rule_score(vectors)
-    return kept, decide.with_fallback(rated, config.theta, config.least)
+    return decide.with_fallback(rated, config.theta, config.least)
+
+
+def rescored(lists: DataFrame, s1: DataFrame, s23: DataFrame, config: LinkConfig = LinkConfig(), fitted=None) -> DataFrame:
+    """s1_id and ids for every query of a candidate file's pairs (s1_id, cand_id): scored and decided anew, without blocking.
+
+    Only entities that occur in the pairs are normalised. Matches are among a query's own candidates by construction.
+    """
+    pairs = lists.select("s1_id", "cand_id").distinct()
+    one, two = (x.join(pairs.select(F.col(c).alias("entity_id")).distinct(), "entity_id", "left_semi") for x, c in ((s1, "s1_id"), (s23, "cand_id")))
+    return decide.lists(s1, matched(pairs, normalised(one), normalised(two), config, fitted))

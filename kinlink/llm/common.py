@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinlink.plans.store import scratch, shared_dir, written
+
+__all__ = ["ARROW_BYTES", "WORD", "arrow", "bound_batches", "remainder", "scratch", "shared_dir", "spread", "table", "written"]
+
 #: Characters that separate words: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of one Arrow batch sent to a Python worker; it bounds memory when single texts are very long.
@@ -41,43 +42,6 @@ def arrow(spark: SparkSession, records: int, size: int) -> Iterator[None]:
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this machine where that is unset and Spark runs on this machine alone (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="kinlink-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-_OPEN: list[list[str]] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end the tables that were written inside; what is still to be read from them must be written before."""
-    _OPEN.append([])
-    try:
-        yield
-    finally:
-        for path in _OPEN.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as a table in the shared folder and reads it back: a cut of the lineage in compact form."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(column: str, by: int):
     """crc32 of the id as text, modulo by; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % by

@@ -16,7 +16,8 @@ Calibration: per predicted language, the cross-entropies of the learnt rows give
 above it by more than MARGIN is marked rejected, though its likeliest language is still reported.
 
 Null texts and texts without a letter: `und`, score 0. Without any learnt text every text is `und`. Null lang: not
-learnt from. Ties go to the language first by code point. Repeated rows: one result each. Extra columns are ignored.
+learnt from. Very long texts are judged whole, each in a group of its own. Ties go to the language first by code point.
+Repeated rows: one result each. Empty tables: empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from kinlink.llm.common import bound_batches, remainder, spread, table, written
 
 ORDER = 4
 #: Numbers of a model that the driver takes and sends.
-CELLS = 1 << 23
+CELLS = 1 << 22
 #: Distinct words that a task holds before it passes them on.
 HELD = 100_000
 CALIBRATE, MARGIN = 0.999, 0.5
@@ -137,35 +138,40 @@ def looked_up(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Models:
     """Sorted arrays of n-gram keys with log probabilities (one column for each language) and weights of the lower order by context."""
 
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts["lang"].unique())
+    def __init__(self, counts: pa.Table):
+        """counts: lang, o, key, suffix, context, head, n as gram_counts gives them."""
+        names = counts["lang"].combine_chunks().dictionary_encode() if counts.num_rows else pa.array([], pa.string()).dictionary_encode()
+        self.langs = sorted(names.dictionary.to_pylist())
         width = len(self.langs)
         self.keys, self.logs, self.contexts, self.backs = [], [], [], []
         self.unseen = np.zeros(width)
         if not width:
             return
+        turn = np.array([self.langs.index(x) for x in names.dictionary.to_pylist()])
+        lang = turn[names.indices.to_numpy()]
+        o, key_of, suffix_of, context_of, head_of, n_of = (counts[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("o", "key", "suffix", "context", "head", "n"))
         for n in range(1, ORDER + 1):
-            rows = counts[counts["o"] == n]
-            keys, first = np.unique(rows["key"].to_numpy(), return_index=True)
-            suffix, context = rows["suffix"].to_numpy()[first], rows["context"].to_numpy()[first]
-            ctx = np.unique(rows["context"].to_numpy())
+            at_n = o == n
+            keys, first = np.unique(key_of[at_n], return_index=True)
+            suffix, context = suffix_of[at_n][first], context_of[at_n][first]
+            ctx = np.unique(context_of[at_n])
             prob, back = np.zeros((len(keys), width)), np.ones((len(ctx), width))
-            for k, lang in enumerate(self.langs):
-                own = rows[rows["lang"] == lang]
-                c = own["n"].to_numpy().astype(np.float64)
+            for k in range(width):
+                own = at_n & (lang == k)
+                c = n_of[own].astype(np.float64)
                 if n < ORDER:
-                    wider = counts[(counts["o"] == n + 1) & (counts["lang"] == lang)]["suffix"].value_counts()
-                    kinds = wider.reindex(own["key"]).fillna(0).to_numpy()
-                    c = np.where(own["head"].to_numpy(), c, np.maximum(kinds, 1))
+                    shared, many = np.unique(suffix_of[(o == n + 1) & (lang == k)], return_counts=True)
+                    place, there = looked_up(shared, key_of[own])
+                    kinds = many[place] * there if len(many) else np.zeros(len(c))
+                    c = np.where(head_of[own], c, np.maximum(kinds, 1))
                 ones, twos = (c == 1).sum(), (c == 2).sum()
                 d = ones / (ones + 2 * twos) if ones and twos else 0.5
-                place = np.searchsorted(ctx, own["context"].to_numpy())
+                place = np.searchsorted(ctx, context_of[own])
                 total = np.bincount(place, weights=c, minlength=len(ctx))
                 kinds = np.bincount(place, minlength=len(ctx))
                 have = total > 0
                 back[have, k] = d * kinds[have] / total[have]
-                at = np.searchsorted(keys, own["key"].to_numpy())
-                prob[at, k] = np.maximum(c - d, 0) / total[place]
+                prob[np.searchsorted(keys, key_of[own]), k] = np.maximum(c - d, 0) / total[place]
             if n == 1:
                 letters = len(keys) + 1
                 self.unseen = np.log(back[0] / letters)
@@ -283,8 +289,10 @@ def probabilities(counts: DataFrame, others: DataFrame, langs: list[str]) -> Dat
 def predicted_by_join(docs: DataFrame, model: DataFrame, langs: list[str]) -> DataFrame:
     """As predicted, from the table of probabilities."""
     width = len(langs)
-    top = model.orderBy(F.desc("n"), "key").limit(CELLS // 2 // width).toPandas().sort_values("key")
-    shared = docs.sparkSession.sparkContext.broadcast((top["key"].to_numpy(np.int64), np.array(top["logs"].tolist(), dtype=np.float64).reshape(-1, width)))
+    top = model.orderBy(F.desc("n"), "key").limit(CELLS // 2 // width).select("key", "logs").toArrow().combine_chunks()
+    key, logs = top["key"].to_numpy(), top["logs"].combine_chunks().flatten().to_numpy().reshape(-1, width) if top.num_rows else np.zeros((0, width))
+    order = np.argsort(key)
+    shared = docs.sparkSession.sparkContext.broadcast((key[order], logs[order]))
 
     def costs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Cost by language and predicted characters of each text, and text, key, n of the n-grams that were not sent."""
@@ -376,7 +384,7 @@ def identify(docs: DataFrame, held_out: int = 2, folds: int = 4) -> DataFrame:
     counts = counted_grams(docs.filter(learnt))
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if counts.count() * len(langs) <= CELLS:
-        out = predicted(docs, Models(counts.toPandas()))
+        out = predicted(docs, Models(counts.toArrow()))
     else:
         others = counted_grams(docs.filter(~learnt).withColumn("lang", F.lit(None).cast("string")))
         out = predicted_by_join(docs, probabilities(counts, others, langs), langs)

@@ -1,7 +1,8 @@
 """Language: held-out accuracy, probabilities that sum to one, awkward rows."""
 
+from collections import defaultdict
+
 import numpy as np
-import pandas as pd
 
 from kinlink.llm import op05_language as m
 from tests.llm.util import awkward, documents, fold
@@ -25,7 +26,7 @@ def test_words_are_counted_over_whole_texts(spark):
 
 def test_probabilities_of_seen_contexts_sum_to_one(spark):
     words = spark.createDataFrame([("en", w, n) for w, n in {"abba": 3, "abc": 2, "cab": 1, "bab": 4, "caa": 1}.items()], "lang string, word string, n long")
-    model = m.Models(m.gram_counts(words).toPandas())
+    model = m.Models(m.gram_counts(words).toArrow())
     letters = list("abc") + ["\x03"]
     keys = {}
     for c in letters:
@@ -45,6 +46,66 @@ def test_probabilities_of_seen_contexts_sum_to_one(spark):
     assert abs(total + unseen - 1) < 1e-6
 
 
+def by_definition(words, letters):
+    """cost(word): the negative log probability of a word by interpolated Kneser-Ney over so many letters, straight from counted strings."""
+    count = [defaultdict(int) for _ in range(m.ORDER + 1)]
+    for w, n in words.items():
+        t = f"\x02{w}\x03"
+        for k in range(1, len(t)):
+            for o in range(1, min(k + 1, m.ORDER) + 1):
+                count[o][t[k - o + 1 : k + 1]] += n
+    for o in range(1, m.ORDER):  # lower orders count the distinct letters to the left, but whole counts at a word's start
+        left = defaultdict(set)
+        for g in count[o + 1]:
+            left[g[1:]].add(g[0])
+        for g in count[o]:
+            if g[0] != "\x02":
+                count[o][g] = max(len(left[g]), 1)
+
+    def p(context, c):
+        o = len(context) + 1
+        ones, twos = (sum(n == x for n in count[o].values()) for x in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        same = [n for g, n in count[o].items() if g[:-1] == context]
+        lower = p(context[1:], c) if context else 1 / letters
+        if not same:
+            return lower
+        own = count[o].get(context + c, 0)
+        return (max(own - d, 0) if own else 0) / sum(same) + d * len(same) / sum(same) * lower
+
+    def cost(word):
+        t = f"\x02{word}\x03"
+        return -sum(np.log(p(t[max(0, k - m.ORDER + 1) : k], t[k])) for k in range(1, len(t)))
+
+    return cost
+
+
+def test_costs_equal_the_definition(spark):
+    rng = np.random.default_rng(4)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(1, 9)))
+    learnt = {lang: {word(letters): int(rng.integers(1, 5)) for _ in range(40)} for lang, letters in (("en", "abcd"), ("fr", "bcdeé"))}
+    rows = [(lang, w, n) for lang, ws in learnt.items() for w, n in ws.items()]
+    model = m.Models(m.gram_counts(spark.createDataFrame(rows, "lang string, word string, n long")).toArrow())
+    tried = [word("abcdeéx") for _ in range(60)] + list(learnt["en"])[:20] + ["a", "zzz", "é"]
+    cost, size = model.words(tried)
+    assert size.tolist() == [len(w) + 1 for w in tried] and model.langs == ["en", "fr"]
+    letters = len({c for ws in learnt.values() for w in ws for c in f"{w}\x03"}) + 1  # all models share the uniform floor
+    for k, lang in enumerate(model.langs):
+        want = by_definition(learnt[lang], letters)
+        assert np.allclose(cost[:, k], [want(w) for w in tried])
+
+
+def test_costs_of_one_language_equal_the_definition(spark):
+    rng = np.random.default_rng(5)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(1, 9)))
+    for letters in ("ab", "abcd", "abcdefghij"):
+        learnt = {word(letters): int(rng.integers(1, 5)) for _ in range(60)}
+        model = m.Models(m.gram_counts(spark.createDataFrame([("en", w, n) for w, n in learnt.items()], "lang string, word string, n long")).toArrow())
+        tried = [word(letters + "xy") for _ in range(80)] + list(learnt)
+        want = by_definition(learnt, len({c for w in learnt for c in w}) + 2)
+        assert np.allclose(model.words(tried)[0][:, 0], [want(w) for w in tried])
+
+
 def test_awkward_rows(spark):
     rows = awkward()
     got = m.identify(documents(spark, rows)).collect()
@@ -58,7 +119,7 @@ def test_without_learnt_texts(spark):
     docs = documents(spark, [(1, "some text", None, "s"), (2, "more", None, "s")])
     assert {r["lang_pred"] for r in m.identify(docs).collect()} == {"und"}
     assert m.identify(docs.limit(0)).count() == 0
-    assert isinstance(m.gram_counts(m.word_counts(docs.limit(0))).toPandas(), pd.DataFrame)
+    assert m.Models(m.gram_counts(m.word_counts(docs.limit(0))).toArrow()).langs == []
 
 
 def test_every_n_gram_has_its_own_entry(spark):

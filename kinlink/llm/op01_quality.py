@@ -9,7 +9,8 @@ compressed logistic function. Only sums leave the executors: the model is a few
 Null and empty texts: the statistics of an empty text, scored as any other. Null doc_id: hashed as the empty text.
 Rows of labels whose quality is not 0 or 1 are not learned from; several label rows of a document all count. With
 no labelled row of a class every score is 0.5 plus nothing, and predicted is 1 (nothing is rejected unlearned).
-Repeated rows: one result each. Extra columns are ignored; labels, lang, source and doc_id are no inputs.
+Very long texts are measured whole. Repeated rows: one result each. Empty tables: empty results. Extra columns are
+ignored; labels, lang, source and doc_id are no inputs.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ class Discriminant:
 
     def __init__(self, counts: np.ndarray, sums: np.ndarray, squares: np.ndarray):
         d = sums.shape[1]
-        self.ready = bool((counts > 1).all())
+        self.ready = bool((counts > 0).all())
         if not self.ready:
             return
         means = sums / counts[:, None]

@@ -7,8 +7,9 @@ subdomains. Intervals are kept as one array for each domain, so the as-of evalua
 on the domains above its host, without a row for each pair of capture and entry. It is done once for each distinct
 host and date; captures get its outcome by host and date.
 
-Hosts are lower case without user, port and final dot. Null or hostless URLs, and null fetch times, match nothing.
-Entries with null domain, list, date or another action are ignored. Repeated captures: one result each. Empty
+Hosts are lower case without user, port and final dot, IPv6 ones in their brackets; domains of entries are cleaned in
+the same way. Null or hostless URLs, and null fetch times, match nothing.
+Entries with null or empty domain, null list, date or another action are ignored. Repeated captures: one result each. Empty
 tables: empty results; without entries nothing is blocked. Extra columns of captures are ignored.
 """
 
@@ -25,10 +26,16 @@ FEW_DOMAINS = 50_000
 
 def host(url: str | Column) -> Column:
     url = F.col(url) if isinstance(url, str) else url
-    found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1))
     return F.nullif(F.regexp_replace(found, r"\.+$", ""), F.lit(""))
 
 
+def listed(domain: Column) -> Column:
+    """The domain of an entry as hosts are written: also of a whole URL, with port, final dots or blanks around it."""
+    bare = F.trim(F.regexp_replace(domain, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://", ""))
+    return host(F.concat(F.lit("http://"), F.regexp_replace(bare, r"^\.+", "")))
+
+
 def above(name: Column) -> Column:
     """A host and all domains above it."""
     parts = F.split(name, r"\.")
@@ -37,8 +44,8 @@ def above(name: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """domain and spans: array of (list, valid_from, valid_to); valid_to null while open."""
-    fine = entries.filter("domain is not null and list is not null and on is not null and action in ('add', 'remove')")
-    day = fine.groupBy("list", F.lower("domain").alias("domain"), "on").agg(F.max(F.col("action") == "remove").alias("ends"))
+    fine = entries.withColumn("domain", listed(F.col("domain"))).filter("domain is not null and list is not null and on is not null and action in ('add', 'remove')")
+    day = fine.groupBy("list", "domain", "on").agg(F.max(F.col("action") == "remove").alias("ends"))
     order = Window.partitionBy("list", "domain").orderBy("on")
     # of runs of equal actions only the first changes anything
     turns = day.withColumn("was", F.lag("ends").over(order)).filter("was is null and not ends or was <> ends")
@@ -94,14 +101,14 @@ state as (
   select p.page_id, e.list, e.domain, e.day, e.action, p.fetched,
          row_number() over (partition by p.page_id, e.list, e.domain order by e.day desc, e.action desc) as r
   from (select *, date '2024-01-01' + (page_id % 366)::int as fetched,
-               nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', ''), '') as host from pages) p
+               nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)', 1)), '\.+$', ''), '') as host from pages) p
   join entries e on e.day <= p.fetched and (p.host = e.domain or ends_with(p.host, '.' || e.domain))),
 opened as (
   select s.page_id, s.list, s.domain,
          (select min(a.day) from entries a where a.list = s.list and a.domain = s.domain and a.action = 'add' and a.day <= s.fetched
           and not exists (select 1 from entries b where b.list = a.list and b.domain = a.domain and b.action = 'remove' and b.day >= a.day and b.day <= s.fetched)) as since
   from state s where s.r = 1 and s.action = 'add')
-select p.page_id, nullif(regexp_replace(lower(regexp_extract(p.url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', ''), '') as host,
+select p.page_id, nullif(regexp_replace(lower(regexp_extract(p.url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)', 1)), '\.+$', ''), '') as host,
        (date '2024-01-01' + (p.page_id % 366)::int)::date::varchar as fetched,
        o.lists is not null as blocked, coalesce(o.lists, '') as lists, o.since::varchar as listed_since
 from pages p left join (select page_id, string_agg(distinct list, ',' order by list) as lists, min(since) as since from opened group by page_id) o on p.page_id = o.page_id

@@ -8,7 +8,8 @@ offsets: the text is their alternation, so offsets are running sums of lengths i
 Kinds email, ip, card and phone (the base) are always kept once confirmed. Kinds iban (mod-97) and ssn are added
 where their score, lifted by context words and lowered by words that speak against it, is at least ADDED_AT.
 
-Null and empty texts: no spans. Repeated rows and ids: one result each. Extra columns are ignored. Overlapping
+Null and empty texts: no spans. Very long texts are read whole, in time linear in the text and its matches. Null
+doc_ids, repeated rows and ids: one result each. Empty tables: empty results. Extra columns are ignored. Overlapping
 spans of different kinds are all reported; masking goes kind by kind in the order of MASKED.
 """
 
@@ -122,29 +123,62 @@ def proposed(df: DataFrame, text: str) -> DataFrame:
 
 
 SPAN = "struct<start:int,end:int,score:double>"
+#: Matches whose offsets are summed together.
+CHUNK = 256
+
+
+def offset(df: DataFrame) -> DataFrame:
+    """Adds for each kind _s_<kind>, the starts of its matches: running sums over gaps and matches.
+
+    Sums run within chunks of CHUNK matches and over the chunks' totals, so that no long array is copied for each
+    match. Every step's column is read twice by the next one, as the optimiser would write one that is read once into
+    the lambdas and so compute it for each element.
+    """
+    none = F.array().cast("array<int>")
+    chunks = lambda kind: F.sequence(F.lit(0), F.floor((F.size(f"_m_{kind}") - 1) / CHUNK).cast("int"))
+    own = lambda kind, c: F.slice(f"_l_{kind}", c * CHUNK + 1, CHUNK)
+    some = lambda kind, x: F.when(F.size(f"_m_{kind}") > 0, x)
+
+    def lengths(kind: str) -> Column:
+        m, g = F.col(f"_m_{kind}"), F.col(f"_g_{kind}")
+        return F.transform(m, lambda x, i: F.struct(F.length(F.get(g, i)).alias("gap"), F.length(x).alias("match")))
+
+    def totals(kind: str) -> Column:
+        return F.transform(chunks(kind), lambda c: F.aggregate(own(kind, c), F.lit(0), lambda a, x: a + x["gap"] + x["match"]))
+
+    def bases(kind: str) -> Column:
+        before = F.transform(chunks(kind), lambda c: F.aggregate(F.slice(f"_t_{kind}", 1, c), F.lit(0), lambda a, x: a + x))
+        return F.when(F.size(f"_t_{kind}") > 0, before)
+
+    def starts(kind: str) -> Column:
+        def chunk(c: Column) -> Column:
+            zero = F.struct(F.get(f"_b_{kind}", c).alias("at"), none.alias("out"))
+            add = lambda a, x: F.struct((a["at"] + x["gap"] + x["match"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["gap"])).alias("out"))
+            return F.aggregate(own(kind, c), zero, add)["out"]
+
+        return F.when(F.size(f"_b_{kind}") > 0, F.flatten(F.transform(chunks(kind), chunk)))
+
+    for tag, step in (("l", lengths), ("t", totals), ("b", bases), ("s", starts)):
+        df = df.withColumns({f"_{tag}_{kind}": some(kind, step(kind)) for kind in PATTERNS})
+    return df
 
 
 def spans_of(kind: str) -> Column:
-    """Confirmed spans of a kind, in order: running sums over gaps and matches."""
-    m, g = F.col(f"_m_{kind}"), F.col(f"_g_{kind}")
+    """Confirmed spans of a kind, in order."""
+    m, g, s = F.col(f"_m_{kind}"), F.col(f"_g_{kind}"), F.col(f"_s_{kind}")
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(g, i))
-        end = start + F.length(F.get(m, i))
+    def one(x: Column, i: Column) -> Column:
         near = F.lower(F.concat(F.right(F.get(g, i), F.lit(NEAR)), F.lit(" "), F.left(F.get(g, i + 1), F.lit(NEAR))))
         value = score(kind, near)
-        keep = confirmed(kind, F.get(m, i)) if kind in BASE else confirmed(kind, F.get(m, i)) & (value >= ADDED_AT)
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("score")).cast(SPAN))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+        keep = confirmed(kind, x) if kind in BASE else confirmed(kind, x) & (value >= ADDED_AT)
+        return F.when(keep, F.struct(F.get(s, i).alias("start"), (F.get(s, i) + F.length(x)).alias("end"), value.alias("score")).cast(SPAN))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step)["found"]
-    return F.when(F.size(m) > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(F.size(m) > 0, F.filter(F.transform(m, one), lambda x: x.isNotNull())).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and one array of spans (start, end, score; code points, end exclusive) for each kind."""
-    df = proposed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")), "_t")
+    df = offset(proposed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")), "_t"))
     return df.select("doc_id", *[spans_of(k).alias(k) for k in PATTERNS])
 
 

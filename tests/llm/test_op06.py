@@ -38,3 +38,11 @@ def test_odd_captures_and_entries(spark):
     assert got == sorted([("1", True), ("1", True), ("2", False), ("3", False), ("4", False), ("5", False), ("6", False), ("7", False), ("8", False), ("None", True)])
     assert m.judged(c.limit(0), e).count() == 0
     assert m.judged(c, e.limit(0)).filter("blocked").count() == 0
+
+
+def test_domains_and_hosts_are_written_alike(spark):
+    names = ["A.com.", "b.org:80", " http://user@C.net:8080/x ", ".d.de", "[2001:DB8::1]", "", ".", "e.com/path"]
+    e = spark.createDataFrame([("l", n, DAY, "add") for n in names], "list string, domain string, on date, action string")
+    urls = ["http://a.com/", "http://x.b.org/", "https://c.net", "http://d.de", "http://[2001:db8::1]:80/x", "http://e.com", "http://[2001:db8::2]/", "http://f.com"]
+    c = spark.createDataFrame([(k, u, DAY) for k, u in enumerate(urls)], "id long, url string, fetched date")
+    assert {r["id"]: r["blocked"] for r in m.judged(c, e).collect()} == {k: k < 6 for k in range(8)}

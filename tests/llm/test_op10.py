@@ -76,6 +76,25 @@ def test_redact(spark):
     assert m.redact(docs).schema == docs.schema
 
 
+def test_many_spans_in_one_text(spark):
+    """More than one chunk, and thousands of chunks' worth in little time."""
+    import time
+
+    texts = ["é a%d@b.cd " % k + "x" * (k % 7) for k in range(700)]
+    got = m.find(rows_of(spark, ["".join(texts), "".join(texts[:256]), "".join(texts[:257])])).collect()
+    for r, n in zip(sorted(got, key=lambda r: r["doc_id"]), (700, 256, 257), strict=True):
+        assert [("email", s["start"], s["end"]) for s in r["email"]] == base("".join(texts[:n]))
+    long = " ".join("a@b.cd" for _ in range(100_000))
+    began = time.time()
+    found = m.find(rows_of(spark, [long])).first()["email"]
+    assert len(found) == 100_000 and found[-1]["end"] == len(long) and time.time() - began < 60
+
+
+def test_null_ids_and_repeats(spark):
+    docs = spark.createDataFrame([(None, "a@b.cd"), (1, "a@b.cd"), (1, "a@b.cd"), (1, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, len(r["email"])) for r in m.find(docs).collect()) == [(0, 1), (1, 0), (1, 1), (1, 1)]
+
+
 def test_empty_and_native(spark):
     docs = rows_of(spark, ["a@b.cd"]).limit(0)
     assert m.find(docs).count() == 0 and m.redact(docs).count() == 0

@@ -12,20 +12,32 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def least_of(near: DataFrame) -> DataFrame:
+    """The smallest neighbour m of each node. Written, so that a join with it deals both sides by key and a hot node's rows can be split."""
+    return written(near.groupBy("a").agg(F.min("b").alias("m")), "least")
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's smallest neighbour, itself included."""
     near = both_ways(edges)
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = least_of(near).select("a", F.least("a", "m").alias("m"))
     return near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them. In edges, a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = least_of(edges)
     moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, which has none: then the smaller one is the component."""
+    if edges.groupBy("a").count().filter("count > 1").limit(1).count():
+        return False
+    return not edges.select(F.col("b").alias("a")).distinct().join(edges.select("a"), "a", "left_semi").limit(1).count()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) for every node with a link; links has columns a and b.
 
@@ -35,11 +47,6 @@ def components(links: DataFrame) -> DataFrame:
     practice after about the logarithm of the longest path.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    seen = None
-    while True:
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen or state[0] == 0:
-            break
-        seen = state
-        edges = written(small_star(large_star(edges)), "edges")
+    while not stars(edges):
+        edges = written(small_star(written(large_star(edges), "large")), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

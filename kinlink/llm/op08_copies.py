@@ -208,7 +208,7 @@ def in_blocks(open_: DataFrame, reps: DataFrame) -> DataFrame:
     each = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
     sizes = each.groupBy("key").agg(F.max_by("component", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = sizes.select("key", "main", blocks(F.col("all") - F.col("most")).alias("rest"), blocks(F.col("most")).alias("inner"))
+    sizes = written(sizes.select("key", "main", blocks(F.col("all") - F.col("most")).alias("rest"), blocks(F.col("most")).alias("inner")), "sizes")
     dealt = open_.join(sizes, "key").join(reps.select("rep", "n", "odd", "whole"), "rep")
     # members of a bucket's main component have blocks of their own, which meet only the blocks of the others
     inside, h = F.col("component") == F.col("main"), F.xxhash64("rep")
@@ -256,7 +256,8 @@ def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     posted = reps.select(F.explode("bands").alias("key"), "rep")
-    full = posted.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    # what is counted by bucket is written before it meets the members, so that a join deals both by key and a hot bucket can be split
+    full = written(posted.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "full")
     members = written(posted.join(full, "key").select("key", "rep", F.col("rep").alias("component")), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = sets_of(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")).withColumn("digest", F.xxhash64("hashes"))
@@ -268,12 +269,13 @@ def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
             # a hub of each open bucket meets the members outside its component
             hub = F.min_by(F.struct("rep", "component"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")) if turn else F.min(F.struct("rep", "component"))
             hubs = members.groupBy("key").agg(hub.alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+            hubs = written(hubs.select("key", "hub"), "hubs")
             star = written(members.join(hubs, "key").select("key", "rep", "component", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("of")).filter("rep <> hub"), "star")
             pairs = star.filter("component <> of").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
             members = star.select("key", "rep")
         else:
             spread_out = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-            pairs = in_blocks(members.join(spread_out, "key").select("key", "rep", "component"), reps)
+            pairs = in_blocks(members.join(written(spread_out, "open"), "key").select("key", "rep", "component"), reps)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")

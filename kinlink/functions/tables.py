@@ -6,19 +6,29 @@ NAME_WORDS = {
     "intl": "international", "mgmt": "management", "mgr": "manager", "dept": "department", "svcs": "services", "svc": "service",
     "grp": "group", "natl": "national",
 }
-# The shorter list of the column-wise first generation lacks these two.
-NAME_WORDS_SHORT = {k: v for k, v in NAME_WORDS.items() if k not in ("mgr", "dept")}
+# The shorter list of the column-wise first generation.
+NAME_WORDS_SHORT = {
+    "corp": "corporation", "pvt": "private", "ltd": "limited", "inc": "incorporated", "co": "company", "assoc": "associates", "intl": "international",
+    "mgmt": "management", "svcs": "services", "svc": "service", "grp": "group", "natl": "national",
+}
 
-# Abbreviations of addresses, common to all countries.
-ADDRESS_WORDS = {
-    "rd": "road", "str": "street", "ave": "avenue", "av": "avenue", "blvd": "boulevard", "dr": "drive", "ln": "lane", "ct": "court",
-    "pl": "place", "sq": "square", "pkwy": "parkway", "hwy": "highway", "apt": "apartment", "ste": "suite", "flr": "floor",
-    "bldg": "building", "opp": "opposite", "r": "rue", "all": "allee", "imp": "impasse",
-}
-# The column-wise first generation, and what the second adds.
-ADDRESS_WORDS_SHORT = {k: v for k, v in ADDRESS_WORDS.items() if k not in ("sq", "r", "all", "imp")} | {"st": "street"}
-ADDRESS_WORDS_FIRST = ADDRESS_WORDS | {"st": "street"}
-ADDRESS_WORDS_SECOND = ADDRESS_WORDS | {"bd": "boulevard"}
+# Abbreviations of addresses, row-wise first generation.
+ADDRESS_WORDS_FIRST = {
+    "rd": "road", "str": "street", "ave": "avenue", "av": "avenue", "blvd": "boulevard", "dr": "drive", "ln": "lane", "ct": "court", "pl": "place",
+    "sq": "square", "pkwy": "parkway", "hwy": "highway", "apt": "apartment", "ste": "suite", "flr": "floor", "bldg": "building", "opp": "opposite",
+    "r": "rue", "all": "allee", "imp": "impasse", "st": "street",
+}
+# The shorter list of the column-wise first generation.
+ADDRESS_WORDS_SHORT = {
+    "rd": "road", "str": "street", "ave": "avenue", "av": "avenue", "blvd": "boulevard", "dr": "drive", "ln": "lane", "ct": "court", "pl": "place",
+    "pkwy": "parkway", "hwy": "highway", "apt": "apartment", "ste": "suite", "flr": "floor", "bldg": "building", "opp": "opposite", "st": "street",
+}
+# Second generation; `st` depends on the country.
+ADDRESS_WORDS_SECOND = {
+    "rd": "road", "str": "street", "ave": "avenue", "av": "avenue", "blvd": "boulevard", "dr": "drive", "ln": "lane", "ct": "court", "pl": "place",
+    "sq": "square", "pkwy": "parkway", "hwy": "highway", "apt": "apartment", "ste": "suite", "flr": "floor", "bldg": "building", "opp": "opposite",
+    "r": "rue", "all": "allee", "imp": "impasse", "bd": "boulevard",
+}
 
 # Legal forms; tested on raw names.
 LEGAL_FORMS = (
@@ -42,12 +52,18 @@ ACRONYM_STOPS = ("and", "of", "the", "for", "at", "by", "in", "llc", "inc", "ltd
 DOMAINS = ("com", "org", "net", "co", "in", "fr", "biz", "info", "io", "us", "uk")
 
 # Devanagari letters in Latin; other Brahmic blocks map to them by their offset of 0x80 a block.
-CONSONANTS = dict(zip(
-    "कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसहळऩऱऴ",
-    "k kh g gh n ch chh j jh n t th d dh n t th d dh n p ph b bh m y r l v sh sh s h l n r l".split(), strict=True,
-))
-VOWEL_SIGNS = dict(zip("ािीुूृेैोौॅॉॆॊ", "a i i u u ri e ai o au e o e o".split(), strict=True))
-VOWELS = dict(zip("अआइईउऊएऐओऔऋऎऒॲऑ", "a a i i u u e ai o au ri e o a o".split(), strict=True))
+CONSONANTS = {
+    "क": "k", "ख": "kh", "ग": "g", "घ": "gh", "ङ": "n", "च": "ch", "छ": "chh", "ज": "j", "झ": "jh", "ञ": "n", "ट": "t", "ठ": "th", "ड": "d", "ढ": "dh",
+    "ण": "n", "त": "t", "थ": "th", "द": "d", "ध": "dh", "न": "n", "प": "p", "फ": "ph", "ब": "b", "भ": "bh", "म": "m", "य": "y", "र": "r", "ल": "l",
+    "व": "v", "श": "sh", "ष": "sh", "स": "s", "ह": "h", "ळ": "l", "ऩ": "n", "ऱ": "r", "ऴ": "l",
+}
+VOWEL_SIGNS = {
+    "ा": "a", "ि": "i", "ी": "i", "ु": "u", "ू": "u", "ृ": "ri", "े": "e", "ै": "ai", "ो": "o", "ौ": "au", "ॅ": "e", "ॉ": "o", "ॆ": "e", "ॊ": "o",
+}
+VOWELS = {
+    "अ": "a", "आ": "a", "इ": "i", "ई": "i", "उ": "u", "ऊ": "u", "ए": "e", "ऐ": "ai", "ओ": "o", "औ": "au", "ऋ": "ri", "ऎ": "e", "ऒ": "o", "ॲ": "a",
+    "ऑ": "o",
+}
 OTHER_SIGNS = {"ं": "n", "ँ": "n", "ः": "h", "्": ""}
 VIRAMA = "्"
 BRAHMIC_BLOCKS = (0x0980, 0x0A00, 0x0A80, 0x0B00, 0x0B80, 0x0C00, 0x0C80, 0x0D00)

@@ -31,29 +31,40 @@ def ngram_jaccard(a, b, n: int) -> Column:
     return jaccard(ngrams(a, n), ngrams(b, n))
 
 
-def prefix_overlap(a, b) -> Column:
-    """Share of the tokens of a for which one of b is a prefix or the other way round; not symmetric."""
-    x, y = tokens(a), tokens(b)
+def prefix_share(x: Column, y: Column) -> Column:
+    """Share of the tokens x for which one of y is a prefix or the other way round; not symmetric."""
     near = F.filter(x, lambda t: F.exists(y, lambda u: F.startswith(u, t) | F.startswith(t, u)))
     return F.when(F.size(y) > 0, share(F.size(near), F.size(x))).otherwise(0.0)
 
 
-def with_digits(c) -> Column:
-    return F.filter(tokens(c), lambda t: t.rlike(r"\p{Nd}"))
+def prefix_overlap(a, b) -> Column:
+    return prefix_share(tokens(a), tokens(b))
+
+
+def with_digits(of: Column) -> Column:
+    return F.filter(of, lambda t: t.rlike(r"\p{Nd}"))
 
 
 def number_overlap(a, b) -> Column:
-    return jaccard(with_digits(a), with_digits(b))
+    return jaccard(with_digits(tokens(a)), with_digits(tokens(b)))
 
 
-def rare_overlap(a, b) -> Column:
+def rare_jaccard(x: Column, y: Column) -> Column:
     """Jaccard of tokens of at least four characters, with the small denominator term of the original scale."""
-    x, y = tokens(a, 4), tokens(b, 4)
+    x, y = (F.filter(z, lambda t: F.length(t) >= 4) for z in (x, y))
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / (F.size(F.array_union(x, y)) + F.lit(1e-9))).otherwise(0.0)
 
 
+def rare_overlap(a, b) -> Column:
+    return rare_jaccard(tokens(a), tokens(b))
+
+
+def size_difference(x: Column, y: Column) -> Column:
+    return F.abs(F.size(x) - F.size(y)).cast("double")
+
+
 def token_difference(a, b) -> Column:
-    return F.abs(F.size(tokens(a)) - F.size(tokens(b))).cast("double")
+    return size_difference(tokens(a), tokens(b))
 
 
 def length_ratio(a, b) -> Column:
@@ -66,9 +77,12 @@ def equal_filled(a, b) -> Column:
     return ((filled(a) != "") & (filled(a) == filled(b))).cast("double")
 
 
+def same_first(x: Column, y: Column) -> Column:
+    return F.coalesce((F.get(x, F.lit(0)) == F.get(y, F.lit(0))).cast("double"), F.lit(0.0))
+
+
 def first_token(a, b) -> Column:
-    x, y = F.get(tokens(a), F.lit(0)), F.get(tokens(b), F.lit(0))
-    return F.coalesce((x == y).cast("double"), F.lit(0.0))
+    return same_first(tokens(a), tokens(b))
 
 
 def same(a, b) -> Column:

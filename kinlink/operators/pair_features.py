@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinlink.functions import features as f
 from kinlink.functions.kernels import compared
+from kinlink.functions.text import tokens
 from kinlink.operators.prescreen import cuts
 
 FIRST = (
@@ -21,17 +22,23 @@ SECOND = (
 KEEP = ("s1_id", "cand_id")
 
 
+def split(df: DataFrame) -> DataFrame:
+    """Adds the tokens of both names (_n1, _n2) and addresses (_a1, _a2), which several features read."""
+    return df.withColumns({f"_{x}{k}": tokens(f"norm_{c}_{k}") for x, c in (("n", "name"), ("a", "addr")) for k in (1, 2)})
+
+
 def first(df: DataFrame) -> DataFrame:
     """Of pairs with norm_name, norm_addr, has_legal and country of both sides; emb_name and emb_addr count where present."""
-    df = df.withColumn("_k", compared(n=(*cuts("norm_name", 150), "ratio", "sort_ratio"), a=(*cuts("norm_addr", 100), "ratio")))
+    df = split(df).withColumn("_k", compared(n=(*cuts("norm_name", 150), "ratio", "sort_ratio"), a=(*cuts("norm_addr", 100), "ratio")))
     n, a = ("norm_name_1", "norm_name_2"), ("norm_addr_1", "norm_addr_2")
+    nt, at = [F.col("_n1"), F.col("_n2")], [F.col("_a1"), F.col("_a2")]
     emb = {k: f.dot(f"emb_{k}_1", f"emb_{k}_2") if f"emb_{k}_1" in df.columns else F.lit(0.0) for k in ("name", "addr")}
     cols = {
-        "name_tj": f.token_jaccard(*n), "name_lev": F.col("_k.n_ratio"), "name_c3j": f.ngram_jaccard(*n, 3), "name_c4j": f.ngram_jaccard(*n, 4),
-        "name_tss": F.col("_k.n_sort_ratio"), "name_aov": f.prefix_overlap(*n), "addr_tj": f.token_jaccard(*a), "addr_c3j": f.ngram_jaccard(*a, 3),
-        "addr_nov": f.number_overlap(*a), "addr_rov": f.rare_overlap(*a), "addr_lev": F.col("_k.a_ratio"), "name_emb": emb["name"], "addr_emb": emb["addr"],
+        "name_tj": f.jaccard(*nt), "name_lev": F.col("_k.n_ratio"), "name_c3j": f.ngram_jaccard(*n, 3), "name_c4j": f.ngram_jaccard(*n, 4),
+        "name_tss": F.col("_k.n_sort_ratio"), "name_aov": f.prefix_share(*nt), "addr_tj": f.jaccard(*at), "addr_c3j": f.ngram_jaccard(*a, 3),
+        "addr_nov": f.jaccard(*map(f.with_digits, at)), "addr_rov": f.rare_jaccard(*at), "addr_lev": F.col("_k.a_ratio"), "name_emb": emb["name"], "addr_emb": emb["addr"],
         "ctry": f.same("country_1", "country_2"), "both_legal": f.both("has_legal_1", "has_legal_2"), "legal_xor": f.either("has_legal_1", "has_legal_2"),
-        "n_tlen": f.token_difference(*n), "n_lrat": f.length_ratio(*n), "a_tlen": f.token_difference(*a), "a_lrat": f.length_ratio(*a),
+        "n_tlen": f.size_difference(*nt), "n_lrat": f.length_ratio(*n), "a_tlen": f.size_difference(*at), "a_lrat": f.length_ratio(*a),
     }
     return df.select(*KEEP, *[cols[c].cast("float").alias(c) for c in FIRST])
 
@@ -39,17 +46,18 @@ def first(df: DataFrame) -> DataFrame:
 def second(df: DataFrame) -> DataFrame:
     """Of pairs with norm_name, rom_name, norm_addr, number, acronym and has_legal of both sides."""
     kinds = ("ratio", "set_ratio", "jaro_winkler")
-    df = df.withColumn("_k", compared(n=(*cuts("norm_name", 120), *kinds), r=(*cuts("rom_name", 120), *kinds), a=(*cuts("norm_addr", 100), *kinds)))
+    df = split(df).withColumn("_k", compared(n=(*cuts("norm_name", 120), *kinds), r=(*cuts("rom_name", 120), *kinds), a=(*cuts("norm_addr", 100), *kinds)))
     n, a = ("norm_name_1", "norm_name_2"), ("norm_addr_1", "norm_addr_2")
+    nt, at = [F.col("_n1"), F.col("_n2")], [F.col("_a1"), F.col("_a2")]
     cols = {
-        "name_tj": f.token_jaccard(*n), "name_lev": F.col("_k.n_ratio"), "name_jw": F.col("_k.n_jaro_winkler"), "name_tsr": F.col("_k.n_set_ratio"),
+        "name_tj": f.jaccard(*nt), "name_lev": F.col("_k.n_ratio"), "name_jw": F.col("_k.n_jaro_winkler"), "name_tsr": F.col("_k.n_set_ratio"),
         "name_c3": f.ngram_jaccard(*n, 3), "name_c4": f.ngram_jaccard(*n, 4), "name_tr_lev": F.col("_k.r_ratio"), "name_tr_jw": F.col("_k.r_jaro_winkler"),
-        "name_tr_tsr": F.col("_k.r_set_ratio"), "addr_tj": f.token_jaccard(*a), "addr_lev": F.col("_k.a_ratio"), "addr_jw": F.col("_k.a_jaro_winkler"),
-        "addr_tsr": F.col("_k.a_set_ratio"), "addr_c3": f.ngram_jaccard(*a, 3), "addr_nov": f.number_overlap(*a),
+        "name_tr_tsr": F.col("_k.r_set_ratio"), "addr_tj": f.jaccard(*at), "addr_lev": F.col("_k.a_ratio"), "addr_jw": F.col("_k.a_jaro_winkler"),
+        "addr_tsr": F.col("_k.a_set_ratio"), "addr_c3": f.ngram_jaccard(*a, 3), "addr_nov": f.jaccard(*map(f.with_digits, at)),
         "num_exact": f.equal_filled("number_1", "number_2"), "acro_match": f.equal_filled("acronym_1", "acronym_2"),
         "both_legal": f.both("has_legal_1", "has_legal_2"), "legal_xor": f.either("has_legal_1", "has_legal_2"),
-        "n_tlen_diff": f.token_difference(*n), "n_lrat": f.length_ratio(*n), "a_tlen_diff": f.token_difference(*a), "a_lrat": f.length_ratio(*a),
-        "first_tok_match": f.first_token(*n), "prescore": F.greatest("_k.n_ratio", "_k.r_ratio") * 1.2 + F.col("_k.a_ratio"),
+        "n_tlen_diff": f.size_difference(*nt), "n_lrat": f.length_ratio(*n), "a_tlen_diff": f.size_difference(*at), "a_lrat": f.length_ratio(*a),
+        "first_tok_match": f.same_first(*nt), "prescore": F.greatest("_k.n_ratio", "_k.r_ratio") * 1.2 + F.col("_k.a_ratio"),
     }
     return df.select(*KEEP, *[cols[c].cast("float").alias(c) for c in SECOND])
 

@@ -215,7 +215,58 @@ def jaro_winklers(pairs: Pairs) -> np.ndarray:
     return out
 
 
+def distinct(grams: np.ndarray, many: np.ndarray, filler: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of at most so many n-grams in order, what repeats or is beyond them turned to filler; and how many are left."""
+    grams[np.arange(grams.shape[1]) >= many[:, None]] = np.iinfo(grams.dtype).max
+    grams.sort(axis=1)
+    again = np.zeros(grams.shape, bool)
+    again[:, 1:] = grams[:, 1:] == grams[:, :-1]
+    again |= grams == np.iinfo(grams.dtype).max
+    grams[again] = filler
+    return grams, (~again).sum(axis=1)
+
+
+def gram_jaccards(pairs: Pairs, n: int) -> np.ndarray:
+    """Jaccard of the distinct n-grams, blanks included; 0 if a text is shorter than n. n is at most 4."""
+    a, b = (np.array([*(p[s] for p in pairs), ""], object)[:-1] for s in (0, 1))
+    la, lb = lengths(a), lengths(b)
+    out, live = np.zeros(len(a)), np.flatnonzero((la >= n) & (lb >= n))
+    live = live[np.argsort(np.maximum(la, lb)[live], kind="stable")]
+    begin = 0
+    while begin < len(live):
+        # texts of a slice are about as long; the longest text comes last
+        width = int(max(la[live[min(begin + SLICE, len(live)) - 1]], lb[live[min(begin + SLICE, len(live)) - 1]]))
+        at = live[begin : begin + max(1, min(SLICE, (SLICE * 64) // width))]
+        begin += len(at)
+        flat = [points(x[at].tolist()) for x in (a, b)]
+        top = max(int(f.max()) for f in flat)
+        if top >= (1 << 16) - 1 or width > 1 << 16:
+            for k in at.tolist():
+                x, y = ({t[i : i + n] for i in range(len(t) - n + 1)} for t in (a[k], b[k]))
+                out[k] = len(x & y) / len(x | y)
+            continue
+        bits, kind = (8, np.uint32) if top < (1 << 8) - 1 else (16, np.uint64)
+        rows, counts = [], []
+        for f, size, filler in zip(flat, (la[at], lb[at]), (0, 1), strict=True):
+            wide = int(size.max())
+            letters = np.zeros((len(at), wide), kind)
+            letters[np.arange(wide) < size[:, None]] = f
+            grams = letters[:, : wide - n + 1].copy()
+            for k in range(1, n):
+                grams = (grams << kind(bits)) | letters[:, k : wide - n + 1 + k]
+            # codes start at 2, so 0 and 1 are no n-grams
+            row, count = distinct(grams, size - n + 1, filler)
+            rows.append(row)
+            counts.append(count)
+        merged = np.concatenate(rows, axis=1)
+        merged.sort(axis=1)
+        both = ((merged[:, 1:] == merged[:, :-1]) & (merged[:, 1:] > 1)).sum(axis=1)
+        out[at] = both / (counts[0] + counts[1] - both)
+    return out
+
+
 KERNELS: dict[str, Callable[[Pairs], np.ndarray]] = dict(zip(KINDS, (ratios, sort_ratios, set_ratios, jaro_winklers), strict=True))
+KERNELS |= {"c3": lambda pairs: gram_jaccards(pairs, 3), "c4": lambda pairs: gram_jaccards(pairs, 4)}
 
 
 def scored(fields: Sequence[tuple[str, Pairs, Sequence[str]]]) -> dict[str, np.ndarray]:
@@ -223,7 +274,7 @@ def scored(fields: Sequence[tuple[str, Pairs, Sequence[str]]]) -> dict[str, np.n
     known: dict[tuple[str, str], int] = {}
     at = {name: np.fromiter((known.setdefault(p, len(known)) for p in pairs), np.int64, len(pairs)) for name, pairs, _ in fields}
     distinct, out = list(known), {}
-    for kind in KINDS:
+    for kind in KERNELS:
         own = [name for name, _, kinds in fields if kind in kinds]
         if own:
             need = np.unique(np.concatenate([at[name] for name in own]))

@@ -29,13 +29,13 @@ def split(df: DataFrame) -> DataFrame:
 
 def first(df: DataFrame) -> DataFrame:
     """Of pairs with norm_name, norm_addr, has_legal and country of both sides; emb_name and emb_addr count where present."""
-    df = split(df).withColumn("_k", compared(n=(*cuts("norm_name", 150), "ratio", "sort_ratio"), a=(*cuts("norm_addr", 100), "ratio")))
     n, a = ("norm_name_1", "norm_name_2"), ("norm_addr_1", "norm_addr_2")
+    df = split(df).withColumn("_k", compared(n=(*cuts("norm_name", 150), "ratio", "sort_ratio"), a=(*cuts("norm_addr", 100), "ratio"), w=(*n, "c3", "c4"), v=(*a, "c3")))
     nt, at = [F.col("_n1"), F.col("_n2")], [F.col("_a1"), F.col("_a2")]
     emb = {k: f.dot(f"emb_{k}_1", f"emb_{k}_2") if f"emb_{k}_1" in df.columns else F.lit(0.0) for k in ("name", "addr")}
     cols = {
-        "name_tj": f.jaccard(*nt), "name_lev": F.col("_k.n_ratio"), "name_c3j": f.ngram_jaccard(*n, 3), "name_c4j": f.ngram_jaccard(*n, 4),
-        "name_tss": F.col("_k.n_sort_ratio"), "name_aov": f.prefix_share(*nt), "addr_tj": f.jaccard(*at), "addr_c3j": f.ngram_jaccard(*a, 3),
+        "name_tj": f.jaccard(*nt), "name_lev": F.col("_k.n_ratio"), "name_c3j": F.col("_k.w_c3"), "name_c4j": F.col("_k.w_c4"),
+        "name_tss": F.col("_k.n_sort_ratio"), "name_aov": f.prefix_share(*nt), "addr_tj": f.jaccard(*at), "addr_c3j": F.col("_k.v_c3"),
         "addr_nov": f.jaccard(*map(f.with_digits, at)), "addr_rov": f.rare_jaccard(*at), "addr_lev": F.col("_k.a_ratio"), "name_emb": emb["name"], "addr_emb": emb["addr"],
         "ctry": f.same("country_1", "country_2"), "both_legal": f.both("has_legal_1", "has_legal_2"), "legal_xor": f.either("has_legal_1", "has_legal_2"),
         "n_tlen": f.size_difference(*nt), "n_lrat": f.length_ratio(*n), "a_tlen": f.size_difference(*at), "a_lrat": f.length_ratio(*a),
@@ -45,15 +45,15 @@ def first(df: DataFrame) -> DataFrame:
 
 def second(df: DataFrame) -> DataFrame:
     """Of pairs with norm_name, rom_name, norm_addr, number, acronym and has_legal of both sides."""
-    kinds = ("ratio", "set_ratio", "jaro_winkler")
-    df = split(df).withColumn("_k", compared(n=(*cuts("norm_name", 120), *kinds), r=(*cuts("rom_name", 120), *kinds), a=(*cuts("norm_addr", 100), *kinds)))
     n, a = ("norm_name_1", "norm_name_2"), ("norm_addr_1", "norm_addr_2")
+    kinds = ("ratio", "set_ratio", "jaro_winkler")
+    df = split(df).withColumn("_k", compared(n=(*cuts("norm_name", 120), *kinds), r=(*cuts("rom_name", 120), *kinds), a=(*cuts("norm_addr", 100), *kinds), w=(*n, "c3", "c4"), v=(*a, "c3")))
     nt, at = [F.col("_n1"), F.col("_n2")], [F.col("_a1"), F.col("_a2")]
     cols = {
         "name_tj": f.jaccard(*nt), "name_lev": F.col("_k.n_ratio"), "name_jw": F.col("_k.n_jaro_winkler"), "name_tsr": F.col("_k.n_set_ratio"),
-        "name_c3": f.ngram_jaccard(*n, 3), "name_c4": f.ngram_jaccard(*n, 4), "name_tr_lev": F.col("_k.r_ratio"), "name_tr_jw": F.col("_k.r_jaro_winkler"),
+        "name_c3": F.col("_k.w_c3"), "name_c4": F.col("_k.w_c4"), "name_tr_lev": F.col("_k.r_ratio"), "name_tr_jw": F.col("_k.r_jaro_winkler"),
         "name_tr_tsr": F.col("_k.r_set_ratio"), "addr_tj": f.jaccard(*at), "addr_lev": F.col("_k.a_ratio"), "addr_jw": F.col("_k.a_jaro_winkler"),
-        "addr_tsr": F.col("_k.a_set_ratio"), "addr_c3": f.ngram_jaccard(*a, 3), "addr_nov": f.jaccard(*map(f.with_digits, at)),
+        "addr_tsr": F.col("_k.a_set_ratio"), "addr_c3": F.col("_k.v_c3"), "addr_nov": f.jaccard(*map(f.with_digits, at)),
         "num_exact": f.equal_filled("number_1", "number_2"), "acro_match": f.equal_filled("acronym_1", "acronym_2"),
         "both_legal": f.both("has_legal_1", "has_legal_2"), "legal_xor": f.either("has_legal_1", "has_legal_2"),
         "n_tlen_diff": f.size_difference(*nt), "n_lrat": f.length_ratio(*n), "a_tlen_diff": f.size_difference(*at), "a_lrat": f.length_ratio(*a),

@@ -61,7 +61,15 @@ def jaro_winkler(a, b):
     return base + prefix * 0.1 * (1 - base) if base > 0.7 else base
 
 
-DEFINED = {"ratio": ratio, "sort_ratio": sort_ratio, "set_ratio": set_ratio, "jaro_winkler": jaro_winkler}
+def grams(n):
+    def jaccard(a, b):
+        x, y = ({t[i : i + n] for i in range(len(t) - n + 1)} for t in (a, b))
+        return len(x & y) / len(x | y) if x and y else 0.0
+
+    return jaccard
+
+
+DEFINED = {"c3": grams(3), "c4": grams(4), "ratio": ratio, "sort_ratio": sort_ratio, "set_ratio": set_ratio, "jaro_winkler": jaro_winkler}
 
 
 def same(pairs):
@@ -82,7 +90,7 @@ def test_lengths_around_words(length):
     text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
     pairs = [(text(length, "ab "), text(rng.randrange(length + 3), "ab ")) for _ in range(6)]
     pairs += [(text(rng.randrange(1, length), "abcdefg é"), text(length, "abcdefg é")) for _ in range(6)]
-    pairs += [("a" * length, "a" * (length + 1)), ("", "a" * length), ("\x00" * 3, "\x00\x01"), ("😀" * length, "😀x" * 3)]
+    pairs += [("a" * length, "a" * (length + 1)), ("", "a" * length), ("\x00" * 3, "\x00\x01"), ("😀" * length, "😀x" * 3), ("ýýýýaýýýý", "ýýýý"), ("\x00\x00\x00\x00", "\x00\x00\x00\x00\x01")]
     same(pairs)
 
 

@@ -249,8 +249,8 @@ def in_blocks(open_: DataFrame, reps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """node and component of every class that is linked with another; reps: rep, n, bands, odd, whole.
+def linked(docs: DataFrame, reps: DataFrame, repeated: bool) -> DataFrame:
+    """node and component of every class that is linked with another; reps: rep, n, bands, odd, whole. repeated: some doc_id has several rows.
 
     Classes with the same smallest doc_id have one rep, and so one node with several sets; any of them makes a link.
     """
@@ -260,10 +260,12 @@ def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
     full = written(posted.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "full")
     members = written(posted.join(full, "key").select("key", "rep", F.col("rep").alias("component")), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = sets_of(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")).withColumn("digest", F.xxhash64("hashes"))
-    sets = written(sets.dropDuplicates(["id", "digest"]).drop("digest"), "sets")
+    sets = sets_of(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"))
+    if repeated:  # else no set need be dealt again for it
+        sets = sets.withColumn("digest", F.xxhash64("hashes")).dropDuplicates(["id", "digest"]).drop("digest")
+    sets = written(sets, "sets")
     bound_batches(spark, 256)
-    tested = links = found = None
+    tested = found = None
     for turn in range(STARS + 1):
         if turn < STARS:
             # a hub of each open bucket meets the members outside its component
@@ -272,28 +274,27 @@ def linked(docs: DataFrame, reps: DataFrame) -> DataFrame:
             hubs = written(hubs.select("key", "hub"), "hubs")
             star = written(members.join(hubs, "key").select("key", "rep", "component", F.col("hub.rep").alias("hub"), F.col("hub.component").alias("of")).filter("rep <> hub"), "star")
             pairs = star.filter("component <> of").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-            members = star.select("key", "rep")
+            members = star.select("key", "rep", "component")
         else:
             spread_out = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
             pairs = in_blocks(members.join(written(spread_out, "open"), "key").select("key", "rep", "component"), reps)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if not pairs.limit(1).count():
-            if turn >= STARS or not members.limit(1).count():
-                break
-        else:
-            kept = pairs if turn >= STARS else passing(pairs, reps)
-            new = confirmed(kept, sets)
-            links = new if found is None else new.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            found = components(links)
+        pairs, new = written(pairs, "pairs"), None
+        if pairs.limit(1).count():
+            new = written(confirmed(pairs if turn >= STARS else passing(pairs, reps), sets), "links")
             tested = pairs if tested is None else tested.union(pairs)
-        if turn < STARS:
-            members = members.select("key", "rep")
-            if found is None:
-                members = members.withColumn("component", F.col("rep"))
+            if new.limit(1).count():
+                found = components(new if found is None else new.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
             else:
-                members = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+                new = None
+        elif turn < STARS and not members.limit(1).count():
+            break
+        if turn < STARS:
+            # without a new link every member keeps its component
+            if new is not None:
+                at = found.withColumnRenamed("node", "rep")
+                members = members.select("key", "rep").join(at, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
             members = written(members, "members")
     return found if found is not None else spark.createDataFrame([], "node long, component long")
 
@@ -305,7 +306,8 @@ def cluster(docs: DataFrame) -> DataFrame:
     named = each.filter("n > 0 and doc_id is not null")
     reps = named.groupBy("cls").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bands", "odd", "whole")])
     reps = written(reps, "classes")
-    found = linked(docs, reps.drop("cls"))
+    repeated = bool(named.groupBy("doc_id").count().filter("count > 1").limit(1).count())
+    found = linked(docs, reps.drop("cls"), repeated)
     # one doc_id with several texts is one node: its classes are tied through it
     each_of = named.select("doc_id", "cls").join(reps.select("cls", "rep"), "cls").select("doc_id", "rep")
     of = written(each_of.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")), "reps")

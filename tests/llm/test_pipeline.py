@@ -2,6 +2,7 @@
 
 import corpus_pipeline as p
 from kinlink.llm import op04_pieces, op08_copies, op09_mixture
+from tests.llm.util import awkward, documents
 
 
 def test_run_equals_its_stages(spark, sf, tmp_path):
@@ -31,3 +32,34 @@ def test_run_equals_its_stages(spark, sf, tmp_path):
     whole = p.run(spark, sf)
     key = lambda df: sorted((r["doc_id"], r["ids_sha256"]) for r in df.collect())
     assert key(whole) == key(docs)
+
+
+def tables(spark, at, rows, labels):
+    documents(spark, rows).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+
+
+def test_awkward_rows_run_through(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, columns with names that stages might use."""
+    rows = awkward()
+    tables(spark, tmp_path, rows, [(k, 1 if k % 2 else None, 0) for k in range(40)] + [(None, 1, None)])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in p.STAGES[:4]:
+        before, docs = docs, stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.schema == before.schema, name
+        assert {r["doc_id"] for r in docs.collect()} <= {r["doc_id"] for r in before.collect()}
+    out = p.run(spark, str(tmp_path)).collect()
+    assert len(out) == docs.count() > 20
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r["doc_id"], set()).add(op04_pieces.prefix_table(op04_pieces.default_model()).encode(r["text"] or "").__len__())
+    assert all(r["n_tokens"] in texts[r["doc_id"]] for r in out)
+
+
+def test_empty_tables_run_through(spark, tmp_path):
+    tables(spark, tmp_path, awkward(), [(1, 1, 0)])
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert p.run(spark, f"{tmp_path}/none").count() == 0

@@ -38,11 +38,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as a table in the shared folder and reads it back: a cut of the lineage in compact form."""
-    spark = df.sparkSession
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; an open scratch deletes what is written there."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if _OPEN:
         _OPEN[-1].append(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes df once as a table in the shared folder and reads it back: a cut of the lineage in compact form."""
+    spark = df.sparkSession
+    path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

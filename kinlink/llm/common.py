@@ -8,9 +8,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinlink.plans.store import scratch, shared_dir, written
+from kinlink.plans.store import fresh, scratch, shared_dir, written
 
-__all__ = ["ARROW_BYTES", "WORD", "arrow", "bound_batches", "remainder", "scratch", "shared_dir", "spread", "table", "written"]
+__all__ = ["ARROW_BYTES", "WORD", "arrow", "bound_batches", "fresh", "remainder", "scratch", "shared_dir", "spread", "table", "written"]
 
 #: Characters that separate words: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -7,7 +7,8 @@ blocks of a file (running maximum of last separators, running sum of their numbe
 the separator before it and the number of documents closed so far, which stitches the counts together.
 
 An open document at a file's end counts if it has tokens. Empty documents have 0 tokens. Null texts are written as
-empty documents. Files with an odd number of bytes are an error. Empty folders give empty results.
+empty documents, very long texts whole, repeated rows each for itself; extra columns are ignored. Files with an odd
+number of bytes are an error. Empty tables and folders give empty results.
 
 Files are written by Spark's own text writer, whose line separator is set to the two bytes of the end-of-document
 id, so that any store that Spark writes will do; blocks are read by byte range through Arrow's file systems.
@@ -16,7 +17,6 @@ id, so that any store that Spark writes will do; blocks are read by byte range t
 from __future__ import annotations
 
 import base64
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import bound_batches, shared_dir, spread, table, written
+from kinlink.llm.common import bound_batches, fresh, spread, table, written
 
 #: Tokens of a block, and the end-of-document id of the 50k vocabulary.
 BLOCK, EOD = 1 << 21, 50256
@@ -100,7 +100,7 @@ def counts(spark: SparkSession, path: str, block: int = BLOCK, eod: int = EOD) -
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}"
+    path = fresh(spark, "flat")
     write_flat(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path)
     shard = F.regexp_extract("file", r"part-([0-9]+)", 1).cast("int").alias("shard")
     return counts(spark, path).select(shard, "ordinal", "start", "n_tokens")

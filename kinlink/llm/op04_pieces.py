@@ -9,8 +9,8 @@ No piece of the vocabulary joins a visible character to a following space mark (
 read), so a text falls apart into chunks, each a run of space marks with the characters up to the next, and
 equal chunks have equal ids. Each worker keeps a bounded table of chunks it has met.
 
-Null and empty texts: no ids, empty decoded text. Repeated rows and ids: one result for each row. Extra
-columns are ignored. Characters outside the vocabulary become the byte tokens of their UTF-8 form.
+Null and empty texts: no ids, empty decoded text. Very long texts are encoded whole. Repeated rows and ids: one
+result for each row. Empty tables: empty results. Extra columns are ignored. Characters outside the vocabulary become the byte tokens of their UTF-8 form.
 """
 
 from __future__ import annotations

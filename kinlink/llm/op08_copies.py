@@ -13,7 +13,8 @@ classes that shares a bucket is thus compared or already in one component; no bu
 
 Texts with fewer than WORDS words are one shingle. Null or empty texts, or such without words, have empty sets
 and are linked with nothing. Rows with a null doc_id get a null component and are kept. Rows that share a doc_id
-are one node, whatever their texts. Repeated rows: one result each. Empty tables: empty results. Extra columns are ignored.
+are one node, whatever their texts. Very long texts are read whole; a worker holds some thirty times the bytes of the
+longest one. Repeated rows: one result each. Empty tables: empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations

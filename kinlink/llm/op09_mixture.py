@@ -9,7 +9,7 @@ and the last crossed bucket, a few documents, by whole hashes. Thresholds are ne
 superset. The same rows always give the same mix.
 
 Null text: size 0. Null source: a source of its own. Null doc_id: hashed as the empty text. Rows that share a
-doc_id share a hash and are taken together. Empty table: empty result. Extra columns are ignored.
+doc_id share a hash and are taken together. Very long texts count whole. Empty table: empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -294,3 +294,9 @@ def test_line_numbers_and_headers_of_list_files(spark, tmp_path):
     (tmp_path / "d" / "part-0.csv").write_text(head + "S1-0\t\n")
     (tmp_path / "d" / "part-1.csv").write_text("S1-1\t\n")  # without a header
     assert validate.validate_files(spark, at("d"), None, at("s1.tsv"))[0][0].startswith("header is")
+
+
+def test_stats_without_candidates_have_no_reduction(spark):
+    pairs = spark.createDataFrame([("S1-1", "S2-1", 1), ("S1-1", "S2-2", 1)], "s1_id string, cand_id string, n_keys long")
+    assert tuple(blocking.stats(pairs, 2, 3).first()) == (2, 1.0, 2, 3.0)
+    assert tuple(blocking.stats(pairs.filter("false"), 2, 3).first()) == (0, 0.0, 0, None)

@@ -300,3 +300,9 @@ def test_stats_without_candidates_have_no_reduction(spark):
     pairs = spark.createDataFrame([("S1-1", "S2-1", 1), ("S1-1", "S2-2", 1)], "s1_id string, cand_id string, n_keys long")
     assert tuple(blocking.stats(pairs, 2, 3).first()) == (2, 1.0, 2, 3.0)
     assert tuple(blocking.stats(pairs.filter("false"), 2, 3).first()) == (0, 0.0, 0, None)
+
+
+def test_class_weight_without_pairs_is_unknown(spark):
+    pairs = spark.createDataFrame([("S1-1", "S2-1", 0), ("S1-1", "S2-2", 0)], "s1_id string, cand_id string, label int")
+    assert model.class_weight(pairs) == 2.0
+    assert model.class_weight(pairs.filter("false")) is None

@@ -306,3 +306,12 @@ def test_class_weight_without_pairs_is_unknown(spark):
     pairs = spark.createDataFrame([("S1-1", "S2-1", 0), ("S1-1", "S2-2", 0)], "s1_id string, cand_id string, label int")
     assert model.class_weight(pairs) == 2.0
     assert model.class_weight(pairs.filter("false")) is None
+
+
+def test_counters_without_matches_do_not_know_several(spark):
+    s1 = spark.createDataFrame([("S1-1",), ("S1-2",), ("S1-3",)], "entity_id string")
+    pairs = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-2"), ("S1-2", "S2-1")], "s1_id string, cand_id string")
+    assert tuple(decide.counters(s1, pairs, pairs).first()) == (3, 1, 3, 1, 3)
+    assert tuple(decide.counters(s1, pairs, pairs.filter("s1_id = 'S1-2'")).first()) == (3, 2, 1, 0, 3)
+    assert tuple(decide.counters(s1, pairs, pairs.filter("false")).first()) == (3, 3, 0, None, 3)
+    assert tuple(decide.counters(s1.filter("false"), pairs, pairs).first()) == (0, None, 0, None, 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from kinlink.operators import decide
 from kinlink.plans.link import LinkConfig, link_prepared, normalised, target_index
-from kinlink.plans.store import scratch, written
+from kinlink.plans.store import fresh, scratch, written
 
 
 def start(queries: DataFrame, targets: DataFrame, path: str, checkpoint: str, config: LinkConfig = LinkConfig(), trigger: dict | None = None, fitted=None):
@@ -18,7 +18,9 @@ def start(queries: DataFrame, targets: DataFrame, path: str, checkpoint: str, co
     harmless.
     """
     two = written(normalised(targets), "targets")
-    index = written(target_index(two, config), "index")
+    path_of_index = fresh(two.sparkSession, "index")
+    with scratch(two.sparkSession):
+        index = written(target_index(two, config), "index", path_of_index)
 
     def batch(rows: DataFrame, number: int) -> None:
         with scratch(rows.sparkSession):

@@ -315,3 +315,17 @@ def test_counters_without_matches_do_not_know_several(spark):
     assert tuple(decide.counters(s1, pairs, pairs.filter("s1_id = 'S1-2'")).first()) == (3, 2, 1, 0, 3)
     assert tuple(decide.counters(s1, pairs, pairs.filter("false")).first()) == (3, 3, 0, None, 3)
     assert tuple(decide.counters(s1.filter("false"), pairs, pairs).first()) == (0, None, 0, None, 0)
+
+
+def test_numbered_blocks_give_the_same_without_a_shuffle_of_pairs(spark):
+    """Of queries and targets that share several keys, keys of two countries and rows that repeat."""
+    rows = lambda tag, n, m: [(f"{tag}-{i}", f"c{(i + k) % 2}", f"k{(i * k) % m}") for i in range(n) for k in range(1, 5)]
+    schema = "entity_id string, country string, key string"
+    q, t = spark.createDataFrame([*rows("S1", 9, 7), ("S1-1", "c0", "k1"), ("S1-1", "c0", "k1")], schema), spark.createDataFrame([*rows("S2", 12, 8), ("S2-3", "c1", "none")], schema)
+    by = ("country",)
+    got = blocking.block_numbered(q, blocking.numbered(t, by), by)
+    want = blocking.block(q, t, by)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in x and "cand_id" in x for x in plan.splitlines()) and plan.splitlines()[0].startswith("Project") and "Join Inner" in plan.splitlines()[1]

@@ -2,7 +2,9 @@
 
 Blocks are cut from the partitions as they are read, so an index is built without a shuffle and written once. Every
 block of queries meets every block of the index, as the searches here have a stated query set against all rows; only
-the best few of each meeting go on. Queries are copied to the index's blocks by an equi-join on length and number.
+the best few of each meeting go on. Index blocks are dealt to at most GROUPS groups, query blocks to slices of about
+SLICE_BYTES; a cell is a slice and a group, and one task. It reads the slice's queries, then the group's blocks one
+after another. Blocks are copied to their cells by number, never by a join, so none is ever sent through the driver.
 Vectors of different lengths have no common measure; each length is packed and searched among its own.
 """
 
@@ -20,6 +22,8 @@ from kinlink.llm.common import arrow, written
 
 #: Rows of an index block, of a query block; bytes of a batch from which a block is cut.
 INDEX_ROWS, QUERY_ROWS, BLOCK_BYTES = 8192, 1024, 32 << 20
+#: Groups of the index blocks of a length at most; bytes of query vectors that a task holds, beside one block.
+GROUPS, SLICE_BYTES = 64, 32 << 20
 PACKED = "part int, d int, n int, ids binary, matrix binary, built binary"
 
 #: The k best of a block for several queries: positions of the queries, vec_ids, scores.
@@ -80,35 +84,51 @@ def search(rows: DataFrame, every: int, k: int, kind: str, build: Build | None,
     """
     spark = rows.sparkSession
     index = packed(rows, INDEX_ROWS, build)
-    number = F.row_number().over(Window.partitionBy("d").orderBy("uid")) - 1  # one narrow row for each INDEX_ROWS rows
-    blocks = written(index.select("uid", "d").withColumn("block", number), "numbers")
-    many = blocks.groupBy("d").agg(F.count("*").cast("int").alias("many"))
+    blocks = written(index.select("uid", "d").withColumn("block", F.row_number().over(Window.partitionBy("d").orderBy("uid")) - 1), "numbers")  # one narrow row for each INDEX_ROWS rows
     ask = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct(F.size("v").alias("d"), "v")).alias("s")).select("vec_id", "s.v")
     parts = max(1, -(-blocks.count() * INDEX_ROWS // (every * QUERY_ROWS)))
     asked = packed(ask.repartition(parts, "vec_id"), QUERY_ROWS)
-    copies = asked.join(many, "d").select("d", F.col("uid").alias("quid"), F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("block"))
-    meetings = index.join(blocks.drop("d"), "uid").join(copies, ["d", "block"]).select("uid", "d", "ids", "matrix", "built", "quid", "qids", "qmatrix")
+    before = F.sum(F.col("n") * F.col("d") * 8).over(Window.partitionBy("d").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1))
+    slices = written(asked.select("uid", "d", F.floor(F.coalesce(before, F.lit(0)) / SLICE_BYTES).cast("int").alias("slice")), "slices")
+    lengths = blocks.groupBy("d").agg(F.ceil(F.count("*") / GROUPS).alias("per"), F.count("*").alias("many")).join(slices.groupBy("d").agg((F.max("slice") + 1).alias("slices")), "d")
+    lengths = lengths.withColumn("groups", F.ceil(F.col("many") / F.col("per")))
+    offset = F.coalesce(F.sum(F.col("groups") * F.col("slices")).over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lengths = written(lengths.select("d", "per", "groups", "slices", offset.alias("offset")), "lengths")  # a row for each length
+    cells = lengths.agg(F.max(F.col("offset") + F.col("groups") * F.col("slices"))).first()[0] or 1
+
+    def copied(of: DataFrame, numbers: DataFrame, own, others: str, turn: int) -> DataFrame:
+        """The blocks once for each cell they belong to: own is a block's own part of the cell's number, others names the other part's count."""
+        cell = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col(others) - 1), lambda x: (F.col("offset") + own(x)).cast("int"))).alias("cell")
+        where = written(numbers.join(lengths, "d").select("uid", cell), "cells")
+        return of.join(where, "uid").select("cell", F.lit(turn).alias("turn"), "uid", "d", "ids", "matrix", "built")
+
+    queries = copied(asked, slices, lambda x: F.col("slice") * F.col("groups") + x, "groups", 0)
+    targets = copied(index, blocks, lambda x: x * F.col("groups") + F.floor(F.col("block") / F.col("per")), "slices", 1)
+    meetings = queries.union(targets).repartitionById(cells, F.col("cell")).sortWithinPartitions("cell", "turn", "uid")
     dtype = np.dtype(np.int64 if kind == "long" else np.float64)
     worst = np.iinfo(dtype).min if kind == "long" else -np.inf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = find = None
-        best: dict[int, np.ndarray] = {}  # the k best scores of each query of a block, over the blocks that this task has seen
+        cell, held = None, []  # the queries of a cell and the k best scores of each, over the blocks that it has seen
         for b in batches:
-            for r in b.to_pylist():
-                if r["uid"] != last:
-                    last, ids = r["uid"], np.frombuffer(r["ids"], np.int64)
-                    find = opened(ids, np.frombuffer(r["matrix"], np.float64).reshape(-1, r["d"]), loaded(r["built"]) if r["built"] else [])
-                asks, vectors = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["qmatrix"], np.float64).reshape(-1, r["d"])
-                top = best.setdefault(r["quid"], np.full((len(asks), k), worst, dtype))
-                at, found, scores = find(asks, vectors, top.min(axis=1))
-                place = np.concatenate([np.arange(n) for n in np.bincount(at, minlength=len(asks))]) if len(at) else at
-                new = np.full((len(asks), k), worst, dtype)
-                new[at, place] = scores
-                both = np.concatenate([top, new], axis=1)
-                both.sort(axis=1)
-                best[r["quid"]] = both[:, -k:]
-                yield pa.RecordBatch.from_arrays([pa.array(asks[at], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.from_numpy_dtype(dtype))], names=["query_id", "vec_id", "score"])
+            for at_cell, turn, _, d, *data in zip(*b.columns):
+                ids, matrix, built = (x.as_buffer() for x in data)
+                ids, matrix = np.frombuffer(ids, np.int64), np.frombuffer(matrix, np.float64).reshape(-1, d.as_py())
+                if at_cell.as_py() != cell:
+                    cell, held = at_cell.as_py(), []
+                if not turn.as_py():
+                    held.append((ids.copy(), matrix.copy(), np.full((len(ids), k), worst, dtype)))
+                    continue
+                find = opened(ids, matrix, loaded(built) if built.size else [])
+                for asks, vectors, top in held:
+                    at, found, scores = find(asks, vectors, top.min(axis=1))
+                    place = np.concatenate([np.arange(n) for n in np.bincount(at, minlength=len(asks))]) if len(at) else at
+                    new = np.full((len(asks), k), worst, dtype)
+                    new[at, place] = scores
+                    both = np.concatenate([top, new], axis=1)
+                    both.sort(axis=1)
+                    top[:] = both[:, -k:]
+                    yield pa.RecordBatch.from_arrays([pa.array(asks[at], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.from_numpy_dtype(dtype))], names=["query_id", "vec_id", "score"])
 
     with arrow(spark, 1, BLOCK_BYTES):
         found = meetings.mapInArrow(run, f"query_id long, vec_id long, score {kind}")

@@ -137,3 +137,27 @@ def test_empty(spark):
     assert ip.top(odd(spark).limit(0)).count() == 0 and ann.neighbours(odd(spark).limit(0)).count() == 0
     one = odd(spark).filter("vec_id = 0")
     assert ip.top(one).count() == 0 and ann.neighbours(one).count() == 0
+
+
+def test_blocks_never_pass_the_driver(spark, monkeypatch):
+    """Copies of query blocks are many times their file, which is what Spark takes for their size: no join may broadcast them."""
+    monkeypatch.setattr(blocks, "INDEX_ROWS", 16)
+    monkeypatch.setattr(blocks, "QUERY_ROWS", 2)
+    monkeypatch.setattr(blocks, "SLICE_BYTES", 2 * 3 * 8 * 2, raising=False)
+    monkeypatch.setattr(blocks, "GROUPS", 3, raising=False)
+    rng = np.random.default_rng(6)
+    v = {i: rng.normal(size=3) for i in range(600)}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "vec_id long, embedding array<double>").repartition(2)
+    plans = []
+    whole = blocks.written
+    monkeypatch.setattr(blocks, "written", lambda df, name, *a: plans.append((name, df._jdf.queryExecution().toString())) or whole(df, name, *a))
+    got = rows(ip.top(df))
+    w = {i: np.floor(256 * x).astype(np.int64) for i, x in v.items()}
+    assert got == {q: brute(w, lambda a, b: int(a @ b), q) for q in range(0, 600, 50)}
+    lines = dict(plans)["found"].partition("== Physical Plan ==")[2].splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-*()0123456789")) for x in lines]
+    assert any("matrix" in x for x in lines)
+    for n, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((m for m in range(n + 1, len(lines)) if depth[m] <= depth[n]), len(lines))
+            assert not any("matrix" in x for x in lines[n:end])

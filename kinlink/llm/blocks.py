@@ -52,6 +52,17 @@ def loaded(data: bytes) -> list[np.ndarray]:
         return [z[k] for k in z.files]
 
 
+def narrow(m: np.ndarray) -> bytes:
+    """The matrix in single precision where that loses nothing, as for tables of floats; else in double."""
+    with np.errstate(over="ignore"):
+        half = m.astype(np.float32)
+    return (half if np.array_equal(half, m) else np.ascontiguousarray(m)).tobytes()
+
+
+def wide(data: pa.Buffer, n: int, d: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32 if data.size == 4 * n * d else np.float64).reshape(n, d).astype(np.float64)
+
+
 def packed(rows: DataFrame, size: int, build: Build | None = None) -> DataFrame:
     """Blocks of at most size rows of one length d, with a uid; build makes the arrays of a block's index from its matrix."""
 
@@ -65,7 +76,7 @@ def packed(rows: DataFrame, size: int, build: Build | None = None) -> DataFrame:
                 m = flat[starts[own][:, None] + np.arange(d)] if len(own) < len(ids) else flat.reshape(len(ids), d)
                 index = stored(build(m)) if build else b""
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([d], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([ids[own].tobytes()]), pa.array([np.ascontiguousarray(m).tobytes()]), pa.array([index])],
+                    [pa.array([k], pa.int32()), pa.array([d], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([ids[own].tobytes()]), pa.array([narrow(m)]), pa.array([index])],
                     names=["part", "d", "n", "ids", "matrix", "built"],
                 )
                 k += 1
@@ -113,11 +124,12 @@ def search(rows: DataFrame, every: int, k: int, kind: str, build: Build | None,
         for b in batches:
             for at_cell, turn, _, d, *data in zip(*b.columns):
                 ids, matrix, built = (x.as_buffer() for x in data)
-                ids, matrix = np.frombuffer(ids, np.int64), np.frombuffer(matrix, np.float64).reshape(-1, d.as_py())
+                ids = np.frombuffer(ids, np.int64)
+                matrix = wide(matrix, len(ids), d.as_py())
                 if at_cell.as_py() != cell:
                     cell, held = at_cell.as_py(), []
                 if not turn.as_py():
-                    held.append((ids.copy(), matrix.copy(), np.full((len(ids), k), worst, dtype)))
+                    held.append((ids.copy(), matrix, np.full((len(ids), k), worst, dtype)))
                     continue
                 find = opened(ids, matrix, loaded(built) if built.size else [])
                 for asks, vectors, top in held:

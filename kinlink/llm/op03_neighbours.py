@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink.llm.blocks import Found, first, search, usable
-from kinlink.llm.common import table
+from kinlink.llm.common import table, written
 
 PIVOTS, PREFIX, SAMPLE = 512, 64, 2048
 #: Share of a block that is reranked, and the least number.
@@ -37,7 +37,8 @@ def pivots(rows: DataFrame) -> dict[int, np.ndarray]:
     common = [r["d"] for r in sized.groupBy("d").count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect()]
     out = {}
     for d in common:
-        picked = rows.filter(F.size("v") == d).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()
+        place = (F.xxhash64("vec_id"), F.col("vec_id"), F.col("v"))
+        picked = written(rows.filter(F.size("v") == d).orderBy(*place).limit(SAMPLE), "sample").orderBy(*place).collect()  # collected at once, each partition would send so many
         seen = list(dict.fromkeys(tuple(r["v"]) for r in picked))[:PIVOTS]
         out[d] = unit(np.array(seen, dtype=np.float64))
     return out
@@ -70,10 +71,10 @@ def files(matrix: np.ndarray, centres: np.ndarray) -> list[np.ndarray]:
     """The inverted files of a block: where each pivot's starts, the rows posted, their weights, in order of pivot and row."""
     named = order(unit(matrix), centres)
     n, many = named.shape
-    weights = np.broadcast_to((many - np.arange(many)).astype(np.int16), named.shape).ravel()
+    weights = np.broadcast_to((many - np.arange(many)).astype(np.uint8), named.shape).ravel()
     turn = np.argsort(named.ravel(), kind="stable")
     starts = np.searchsorted(named.ravel()[turn], np.arange(len(centres) + 1))
-    return [starts, (turn // many).astype(np.int32), weights[turn]]
+    return [starts, (turn // many).astype(np.uint16 if n <= 1 << 16 else np.int32), weights[turn]]
 
 
 class PermutationIndex:

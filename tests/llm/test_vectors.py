@@ -161,3 +161,24 @@ def test_blocks_never_pass_the_driver(spark, monkeypatch):
         if "BroadcastExchange" in line:
             end = next((m for m in range(n + 1, len(lines)) if depth[m] <= depth[n]), len(lines))
             assert not any("matrix" in x for x in lines[n:end])
+
+
+def test_pivots_are_few_rows_of_the_driver(spark, monkeypatch):
+    """The sample is brought together by executors: collected in order, SAMPLE rows of every partition would reach the driver."""
+    taken = []
+    whole = type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda df: taken.append(df._jdf.queryExecution().toString()) or whole(df))
+    monkeypatch.setattr(ann, "SAMPLE", 40)
+    df = spark.createDataFrame([(i, [float(i % 9), 1.0, float(i % 11)]) for i in range(400)], "vec_id long, v array<double>").repartition(8)
+    centres = ann.pivots(df)
+    assert 9 < len(centres[3]) <= 40
+    assert len(taken) == 2 and "TakeOrderedAndProject" not in taken[1].partition("== Physical Plan ==")[2]
+
+
+def test_blocks_are_stored_without_loss():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    for m, size in ((rng.normal(size=(5, 3)), 8), (rng.normal(size=(5, 3)).astype(np.float32).astype(np.float64), 4), (np.full((2, 3), 1e300), 8), (np.full((2, 3), 1e-300), 8), (np.full((2, 3), -0.0), 4)):
+        data = pa.py_buffer(blocks.narrow(m))
+        assert data.size == size * m.size and blocks.wide(data, *m.shape).tobytes() == m.tobytes()

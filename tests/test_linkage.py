@@ -329,3 +329,19 @@ def test_numbered_blocks_give_the_same_without_a_shuffle_of_pairs(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Aggregate" in x and "cand_id" in x for x in plan.splitlines()) and plan.splitlines()[0].startswith("Project") and "Join Inner" in plan.splitlines()[1]
+
+
+def test_texts_of_entities_are_never_broadcast(spark, sides, tmp_path):
+    """Computed texts are many times the file that Spark takes for their size; all candidates meet them without the driver."""
+    one, two = sides
+    one.unionByName(two).write.parquet(f"{tmp_path}/e")
+    e = spark.read.parquet(f"{tmp_path}/e")
+    a, b = (normalised(x) for x in (e.filter("entity_id like 'S1-%'"), e.filter("entity_id not like 'S1-%'")))
+    pairs = spark.createDataFrame([("S1-1", "S2-1"), ("S1-9", "S2-1")], "s1_id string, cand_id string")
+    near = prescreen.attributes(pairs, a, b, *FORMS)
+    keyed = blocking.block_numbered(blocking.long_keys(a, F.split("norm_name", " ")), blocking.numbered(blocking.long_keys(b, F.split("norm_name", " "))))
+    for df in (near, keyed):
+        plan = df._jdf.queryExecution().toString().partition("== Physical Plan ==")[2]
+        assert "SortMergeJoin" in plan
+    assert "Broadcast" not in near._jdf.queryExecution().toString().partition("== Physical Plan ==")[2]
+    assert pairs_of(near) == {("S1-1", "S2-1")} and ("S1-1", "S2-1") in pairs_of(keyed)

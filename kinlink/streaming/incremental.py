@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from kinlink.operators import decide
-from kinlink.plans.link import LinkConfig, link_prepared, normalised, target_index
+from kinlink.plans.link import LinkConfig, link_prepared, normalised, target_cells
 from kinlink.plans.store import fresh, scratch, written
 
 
@@ -18,9 +18,7 @@ def start(queries: DataFrame, targets: DataFrame, path: str, checkpoint: str, co
     harmless.
     """
     two = written(normalised(targets), "targets")
-    path_of_index = fresh(two.sparkSession, "index")
-    with scratch(two.sparkSession):
-        index = written(target_index(two, config), "index", path_of_index)
+    index = target_cells(two, config, fresh(two.sparkSession, "index"))
 
     def batch(rows: DataFrame, number: int) -> None:
         with scratch(rows.sparkSession):

@@ -345,3 +345,36 @@ def test_texts_of_entities_are_never_broadcast(spark, sides, tmp_path):
         assert "SortMergeJoin" in plan
     assert "Broadcast" not in near._jdf.queryExecution().toString().partition("== Physical Plan ==")[2]
     assert pairs_of(near) == {("S1-1", "S2-1")} and ("S1-1", "S2-1") in pairs_of(keyed)
+
+
+def test_a_link_shuffles_no_pairs(spark, sides, monkeypatch):
+    """Pairs are counted, scored and ranked where queries meet targets; neither their texts nor their scores are shuffled."""
+
+    def never(*_):
+        raise AssertionError("pairs with their entities' texts")
+
+    want = [sorted(map(tuple, x.collect())) for x in link(*sides)]
+    for what in ("attributes", "channels"):
+        monkeypatch.setattr(prescreen, what, never)
+    monkeypatch.setattr(blocking, "capped", never)
+    assert want[1] and [sorted(map(tuple, x.collect())) for x in link(*sides)] == want
+
+
+def test_blocks_of_any_size_and_shuffled_groups_link_alike(spark, sf, monkeypatch):
+    """One block a group, many blocks a group, and groups too large for a block, with caps and ties; an id that repeats, with and without a country."""
+    from kinlink.operators import cells
+    from kinlink.plans.fixtures import entities, sides as halves
+
+    s1, s23 = halves(entities(spark, sf, "rec").withColumn("country", F.when(F.col("country") < "Brand#3", "A").otherwise(F.col("country"))))
+    config = LinkConfig(max_candidates=9, per_entity=4, gram_cap=30, cap=60)
+    linked = lambda a, b: [sorted(map(tuple, x.collect()), key=str) for x in link(a, b, config)]
+    want = linked(s1, s23)
+    assert len(want[0]) > 50 and want[1]
+    monkeypatch.setattr(cells, "QUERIES", 5)
+    monkeypatch.setattr(cells, "STEP", 2)
+    assert linked(s1, s23) == want
+    twice = s23.union(s23.filter("entity_id like '%1'")).union(s23.filter("entity_id like '%2'").withColumn("country", F.lit(None).cast("string")))
+    mixed = linked(s1, twice)
+    monkeypatch.setattr(cells, "TARGETS", 0)
+    assert linked(s1, s23) == want
+    assert linked(s1, twice) == mixed and len(mixed[0]) >= len(want[0])

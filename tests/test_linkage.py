@@ -378,3 +378,20 @@ def test_blocks_of_any_size_and_shuffled_groups_link_alike(spark, sf, monkeypatc
     monkeypatch.setattr(cells, "TARGETS", 0)
     assert linked(s1, s23) == want
     assert linked(s1, twice) == mixed and len(mixed[0]) >= len(want[0])
+
+
+def test_vectors_of_blocks_equal_those_of_pairs(spark, sf, monkeypatch):
+    """All candidates, made in blocks of any size without a join of texts, for groups too large for a block and for an id that repeats."""
+    from kinlink.operators import cells
+    from kinlink.plans.fixtures import entities, sides as halves
+    from kinlink.plans.link import vectors
+
+    one, two = (normalised(x.withColumn("country", F.when(F.col("country") < "Brand#3", "A").otherwise(F.col("country")))) for x in halves(entities(spark, sf, "rec")))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    of_pairs = lambda a, b: rows(pair_features.second(prescreen.attributes(candidates(a, b), a, b, *FORMS)))
+    want, twice = of_pairs(one, two), two.union(two.filter("entity_id like '%1'"))
+    assert len(want) > 500
+    monkeypatch.setattr(cells, "QUERIES", 7)
+    assert rows(vectors(one, twice)) == of_pairs(one, twice)
+    monkeypatch.setattr(prescreen, "attributes", None)
+    assert rows(vectors(one, two)) == want

@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -395,3 +396,45 @@ def test_vectors_of_blocks_equal_those_of_pairs(spark, sf, monkeypatch):
     assert rows(vectors(one, twice)) == of_pairs(one, twice)
     monkeypatch.setattr(prescreen, "attributes", None)
     assert rows(vectors(one, two)) == want
+
+
+@pytest.mark.parametrize("name", ["features_v1"])
+def test_queries_of_all_candidates_shuffle_no_pairs(spark, sf, monkeypatch, name):
+    """Pairs are made where queries meet targets; their entities' texts are not joined to them."""
+    from kinlink.plans.catalogue import QUERIES
+
+    def never(*_):
+        raise AssertionError("pairs with their entities' texts")
+
+    monkeypatch.setattr(prescreen, "attributes", never)
+    assert len(QUERIES[name](spark, sf).columns) > 1
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, sf):
+    """Both normalised sides in few countries, and targets of which some repeat."""
+    from kinlink.plans.fixtures import entities, sides as halves
+
+    one, two = (normalised(x.withColumn("country", F.when(F.col("country") < "Brand#3", "A").otherwise(F.col("country")))) for x in halves(entities(spark, sf, "rec")))
+    return one, two, two.union(two.filter("entity_id like '%1'"))
+
+
+def of_pairs(a, b, *columns):
+    return prescreen.attributes(candidates(a, b), a, b, *FORMS, *columns)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_first_vectors_of_blocks_equal_those_of_pairs(crowded, monkeypatch):
+    from kinlink.operators import cells
+    from kinlink.plans.link import first_vectors
+
+    one, two, twice = crowded
+    want = rows_of(pair_features.first(of_pairs(one, two, "country")))
+    assert len(want) > 500
+    monkeypatch.setattr(cells, "QUERIES", 40)
+    assert rows_of(first_vectors(one, twice)) == rows_of(pair_features.first(of_pairs(one, twice, "country")))
+    monkeypatch.setattr(prescreen, "attributes", None)
+    assert rows_of(first_vectors(one, two)) == want

@@ -398,7 +398,7 @@ def test_vectors_of_blocks_equal_those_of_pairs(spark, sf, monkeypatch):
     assert rows(vectors(one, two)) == want
 
 
-@pytest.mark.parametrize("name", ["features_v1"])
+@pytest.mark.parametrize("name", ["features_v1", "topk_v6"])
 def test_queries_of_all_candidates_shuffle_no_pairs(spark, sf, monkeypatch, name):
     """Pairs are made where queries meet targets; their entities' texts are not joined to them."""
     from kinlink.plans.catalogue import QUERIES
@@ -438,3 +438,66 @@ def test_first_vectors_of_blocks_equal_those_of_pairs(crowded, monkeypatch):
     assert rows_of(first_vectors(one, twice)) == rows_of(pair_features.first(of_pairs(one, twice, "country")))
     monkeypatch.setattr(prescreen, "attributes", None)
     assert rows_of(first_vectors(one, two)) == want
+
+
+def records(n: int, m: int):
+    """Tables of keyed records with few words, so that texts and scores repeat, and all their pairs that share a key."""
+    import random
+
+    import pyarrow as pa
+
+    rng, words = random.Random(n), "12 12a old bolt bolts st rod b bb road".split()
+    text = lambda most: " ".join(rng.choices(words, k=rng.randint(0, most)))
+    rows = lambda tag, size: [{"entity_id": f"{tag}-{k}", "norm_name": text(3), "rom_name": text(3), "norm_addr": text(5), "number": rng.choice(["", "1"]), "keys": rng.choices("abcd", k=2)} for k in range(size)]
+    one, two = rows("S1", n), rows("S2", m)
+    return pa.Table.from_pylist(one), pa.Table.from_pylist(two), [(x, y) for x in one for y in two if set(x["keys"]) & set(y["keys"])]
+
+
+def likeness(kind, pairs, column, n):
+    from kinlink.functions.kernels import KERNELS
+
+    return KERNELS[kind]([(x[column][:n], y[column][:n]) for x, y in pairs])
+
+
+def ranked(pairs, score):
+    """(s1_id, cand_id, score, rank), ids settling ties."""
+    each = {}
+    for (x, y), v in zip(pairs, score, strict=True):
+        each.setdefault(x["entity_id"], []).append((-v, y["entity_id"]))
+    return [(q, t, -v, k) for q, own in each.items() for k, (v, t) in enumerate(sorted(own), 1)]
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_best_pairs_of_a_block_equal_those_of_all_pairs(monkeypatch, k):
+    """With ties; addresses are compared only where the score could be among the best."""
+    from kinlink.functions.kernels import KERNELS
+    from kinlink.operators import cells
+
+    one, two, pairs = records(40, 90)
+    first = 1.2 * likeness("ratio", pairs, "norm_name", 100) + likeness("ratio", pairs, "norm_addr", 80)
+    names = [likeness(kind, pairs, c, 100) for kind, c in (("ratio", "norm_name"), ("set_ratio", "norm_name"), ("set_ratio", "rom_name"))]
+    sixth = 1.25 * np.maximum.reduce(names) + likeness("ratio", pairs, "norm_addr", 80)
+    fields = [("norm_name", 100, cells.better), ("rom_name", None, KERNELS["set_ratio"])]
+    for grid in (1 << 24, 10):
+        monkeypatch.setattr(cells, "GRID", grid)
+        monkeypatch.setattr(cells, "STEP", 7)
+        for score, weight, own in ((first, 1.2, [("norm_name", 100, KERNELS["ratio"])]), (sixth, 1.25, fields)):
+            got = [tuple(r.values()) for x in cells.leading(one, two, k, weight, own) for r in x.to_pylist()]
+            assert sorted(got) == sorted(r for r in ranked(pairs, score.tolist()) if r[3] <= k)
+
+
+def test_bounds_are_never_below_the_similarities(spark):
+    import random
+
+    import pyarrow as pa
+
+    from kinlink.operators import cells
+
+    rng, words = random.Random(7), "12 12a old bolt st rod b bb road - é".split()
+    texts = ["", " ", *(" ".join(rng.choices(words, k=rng.randint(1, 7))) for _ in range(60))]
+    table = pa.table({"t": texts})
+    q, t = (x.ravel() for x in np.meshgrid(range(len(texts)), range(len(texts)), indexing="ij"))
+    for kind in (cells.Likeness,):
+        near = kind(table, table, "t", 100)
+        bound, exact = near.bound(q, t), near(q, t)
+        assert (bound >= exact).all() and (bound < 1).any() and (bound == exact).any()

@@ -398,7 +398,7 @@ def test_vectors_of_blocks_equal_those_of_pairs(spark, sf, monkeypatch):
     assert rows(vectors(one, two)) == want
 
 
-@pytest.mark.parametrize("name", ["features_v1", "topk_v6", "topk_v1"])
+@pytest.mark.parametrize("name", ["features_v1", "topk_v6", "topk_v1", "features_v2"])
 def test_queries_of_all_candidates_shuffle_no_pairs(spark, sf, monkeypatch, name):
     """Pairs are made where queries meet targets; their entities' texts are not joined to them."""
     from kinlink.plans.catalogue import QUERIES

@@ -398,7 +398,7 @@ def test_vectors_of_blocks_equal_those_of_pairs(spark, sf, monkeypatch):
     assert rows(vectors(one, two)) == want
 
 
-@pytest.mark.parametrize("name", ["features_v1", "topk_v6", "topk_v1", "features_v2"])
+@pytest.mark.parametrize("name", ["features_v1", "topk_v6", "topk_v1", "features_v2", "rescore_lists"])
 def test_queries_of_all_candidates_shuffle_no_pairs(spark, sf, monkeypatch, name):
     """Pairs are made where queries meet targets; their entities' texts are not joined to them."""
     from kinlink.plans.catalogue import QUERIES
@@ -497,7 +497,27 @@ def test_bounds_are_never_below_the_similarities(spark):
     texts = ["", " ", *(" ".join(rng.choices(words, k=rng.randint(1, 7))) for _ in range(60))]
     table = pa.table({"t": texts})
     q, t = (x.ravel() for x in np.meshgrid(range(len(texts)), range(len(texts)), indexing="ij"))
-    for kind in (cells.Likeness,):
+    for kind in (cells.Likeness, cells.Sharing):
         near = kind(table, table, "t", 100)
         bound, exact = near.bound(q, t), near(q, t)
         assert (bound >= exact).all() and (bound < 1).any() and (bound == exact).any()
+
+
+@pytest.mark.parametrize("theta,least", [(0.88, 0.70), (0.97, 0.5), (0.6, 0.7)])
+def test_lists_of_a_block_equal_those_of_all_pairs(monkeypatch, theta, least):
+    from kinlink.operators import cells
+
+    one, two, pairs = records(60, 50)
+    single = lambda *x: np.maximum.reduce(x).astype(np.float32).astype(np.float64)
+    name = single(likeness("ratio", pairs, "norm_name", 120), likeness("set_ratio", pairs, "norm_name", 120), likeness("ratio", pairs, "rom_name", 120))
+    place = single(likeness("ratio", pairs, "norm_addr", 100), likeness("set_ratio", pairs, "norm_addr", 100))
+    score = np.minimum(0.6 * name + 0.4 * place + [0.05 * (x["number"] == y["number"] != "") for x, y in pairs], 1.0)
+    rows = ranked(pairs, score.tolist())
+    top = {q: v for q, _, v, k in rows if k == 1}
+    want = {}
+    for q, t, v, k in rows:
+        if v >= theta or (top[q] < theta and k == 1 and v >= least):
+            want.setdefault(q, []).append(t)
+    monkeypatch.setattr(cells, "STEP", 7)
+    got = {r["s1_id"]: r["ids"] for x in cells.rated(one, two, theta, least) for r in x.to_pylist()}
+    assert got == {q: ",".join(sorted(t)) for q, t in want.items()} and 0 < len(got) and any("," in x for x in got.values())

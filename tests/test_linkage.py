@@ -521,3 +521,12 @@ def test_lists_of_a_block_equal_those_of_all_pairs(monkeypatch, theta, least):
     monkeypatch.setattr(cells, "STEP", 7)
     got = {r["s1_id"]: r["ids"] for x in cells.rated(one, two, theta, least) for r in x.to_pylist()}
     assert got == {q: ",".join(sorted(t)) for q, t in want.items()} and 0 < len(got) and any("," in x for x in got.values())
+
+
+def test_records_of_a_small_file_are_dealt_to_all_tasks(spark, sides):
+    from kinlink.plans.link import spread
+
+    one, _ = sides
+    dealt = spread(one.coalesce(1))
+    assert dealt.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert rows_of(dealt) == rows_of(one)
